@@ -46,7 +46,7 @@ def current_state_sql(fields: tuple[str, ...] = FIELDS, key: str = "event_id", s
       SELECT k, min(seq) AS first_us, max(2 * seq + int(gone)) AS last, -- both in one long keeps the aggregate on hashes
              max(seq) FILTER (WHERE gone) AS gone_us,
              max(seq) FILTER (WHERE fresh) AS fresh_us,
-             {", ".join(f"max_by(struct(seq, f_{f} AS value), seq) FILTER (WHERE sets_{f} AND NOT gone) AS w_{f}" for f in fields)}
+             {", ".join(f"max(struct(seq, f_{f} AS value)) FILTER (WHERE sets_{f} AND NOT gone) AS w_{f}" for f in fields)}
       FROM feed WHERE k IS NOT NULL AND seq IS NOT NULL
       GROUP BY k
     )
@@ -64,7 +64,8 @@ def current_state(feed: DataFrame, fields: tuple[str, ...] = FIELDS, key: str =
     * state is `deleted` when the last change is a delete (all fields are then NULL), else `live`. A delete forgets every
       earlier value; an insert replaces the record, so values older than the last insert do not survive it.
     * Repeated and out-of-order deliveries change nothing: the result is a maximum over sequences. Should two different
-      changes of a key share a sequence, a delete wins over a non-delete.
+      changes of a key share a sequence, a delete wins over a non-delete, and of two values of a field the greater one
+      (a value over NULL).
     * Changes without key (NULL or blank) or without sequence belong to no record and are left out. An empty feed gives
       an empty table. Columns of the feed that are not named here are never read.
     """

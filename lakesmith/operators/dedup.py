@@ -55,11 +55,13 @@ def resolve(rows: DataFrame, key: str = "event_id", version: str = "updated_at",
     identified and do not appear here (`single_copies` passes them on). Extra columns travel inside `row`.
     """
     own = rows.columns
-    # Two different spellings of an identifier are the same message; the row is the tie-break of equal arrivals.
+    # Copies that arrived at the same instant are told apart by a hash of what can be hashed, so the choice is repeatable.
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
     marked = identify(rows, key, version).select(
-        "__m.*", F.coalesce(F.col(batch), F.lit("")).alias("batch"), micros(arrival).alias("seen_us"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")
+        "__m.*", F.coalesce(F.col(batch), F.lit("")).alias("batch"), micros(arrival).alias("seen_us"), F.xxhash64(*plain).alias("tie"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")
     ).filter("id is not null and us is not null")
-    lines = marked.groupBy(*_GROUP, "batch").agg(F.count(F.lit(1)).alias("copies"), F.min("seen_us").alias("seen_us"), F.min_by("row", F.coalesce("seen_us", F.lit(2**62))).alias("row"))
+    first = F.min_by("row", F.struct(F.coalesce("seen_us", F.lit(2**62)), "tie"))
+    lines = marked.groupBy(*_GROUP, "batch").agg(F.count(F.lit(1)).alias("copies"), F.min("seen_us").alias("seen_us"), first.alias("row"))
     lines = lines.withColumn("hi", F.col("seq"))
     if seen is not None:
         known = seen.ranges.select("producer", "block", F.col("lo").alias("seq"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("long").alias("us"), "hi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakesmith.plans import training
+from lakesmith.plans import medallion, oracle, oracle_training, training
 
-QUERIES = {**training.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES = {**medallion.QUERIES, **training.QUERIES}
+SQL: dict[str, str] = {**oracle.SQL, **oracle_training.SQL}

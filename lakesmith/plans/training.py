@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakesmith.functions.canon import canonical_id
 from lakesmith.operators import changefeed, counters, dedup, drift, history, knowntime, orphans
 from lakesmith.plans.durable import durable
 from lakesmith.tables import table
@@ -78,16 +79,12 @@ def _known(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    from lakesmith.functions.canon import canonical_id
-
     changed = _known(spark, folder).filter(F.col("known").isNotNull() & ~F.col("known.plan").eqNullSafe(F.col("latest.plan")))
     return changed.select(canonical_id("row.event_id").alias("event_id"), F.col("known.plan").alias("plan"))
 
 
 def p6_plans(spark: SparkSession, folder: str) -> DataFrame:
     """Every event with the plan known at its time."""
-    from lakesmith.functions.canon import canonical_id
-
     return _known(spark, folder).select(
         canonical_id("row.event_id").alias("event_id"), canonical_id("row.customer_id").alias("customer_id"), F.unix_micros("row.occurred_at").alias("occurred_us"), F.col("known.plan").alias("plan")
     )
@@ -103,7 +100,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_state(spark: SparkSession, folder: str) -> DataFrame:
     """The event table after all changes."""
-    return _state(spark, folder).filter("state = 'live'").drop("first_us", "state")
+    return _state(spark, folder).filter("state = 'live'").drop("first_us", "state").withColumn("occurred_at", F.unix_micros("occurred_at"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
