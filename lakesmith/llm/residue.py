@@ -66,7 +66,7 @@ SCRIPT_RULE_PHRASES = tuple(f"{verb} {thing}" for verb in _ASKING_VERBS for thin
 WEAK_PHRASES = frozenset((
     "enable javascript", "turn on javascript", "turn javascript on", "switch on javascript", "switch javascript on", "allow javascript", "activate javascript", "without javascript", "enable scripting", "enable scripts", "allow scripts",
     "enable cookies", "without scripts", "javascript disabled", "js disabled", "not found", "forbidden", "unauthorized", "bad request", "bad gateway", "service unavailable", "connection refused", "connection timed out", "connection reset",
-    "permission denied", "server error", "internal server error", "placeholder", "heading", "gateway timeout", "too many requests", "untitled", "and reload", "cookies and scripts", "uses cookies", "need javascript", "is unavailable", "cannot be found", "could not be found", "has been removed", "has been deleted", "was removed", "traceback", "stack trace"
+    "permission denied", "server error", "internal server error", "placeholder", "heading", "gateway timeout", "too many requests", "untitled", "and reload", "cookies and scripts", "uses cookies", "need javascript", "is unavailable", "cannot be found", "could not be found", "has been removed", "has been deleted", "was removed", "traceback", "stack trace", "could not be loaded", "cannot be loaded", "does not exist", "doesn't exist", "could not be resolved", "did not answer in time", "sorry", "oops", "hmm", "error id",
 ))
 CONTEXT_PHRASES = ("your browser", "this page", "this site", "this board", "this view", "this forum", "this thread", "our site", "to view", "to see", "to continue", "to read", "to go on", "to use", "please", "that page", "that post", "that document", "that address", "that thread", "that topic", "that question", "that answer", "this post", "this document", "this address", "this topic", "sorry", "oops", "for this address", "for this site", "this content", "this check", "server")
 
@@ -78,7 +78,7 @@ ERROR_PHRASES = (
     "bad request", "not found", "forbidden", "unauthorized", "method not allowed", "request timeout", "access denied", "access is denied", "permission denied", "don't have permission", "do not have permission", "not allowed to view",
     "too many requests", "rate limit exceeded", "something went wrong", "an error occurred", "an error has occurred", "unexpected error", "application error", "fatal error", "unhandled exception", "stack overflow in",
     "could not connect", "could not reach the database", "cannot reach the database", "could not reach", "error establishing a database connection", "database error", "connection refused", "connection timed out", "connection reset", "host is unreachable", "no response from",
-    "server is busy", "server error", "unavailable right now", "is unavailable", "cannot be found", "can not be found", "could not be found", "has been removed", "has been deleted", "was removed", "no longer available", "is no longer here", "come back later", "come back soon", "back shortly", "fatal: uncaught", "uncaught exception", "traceback", "stack trace", "that address", "down for maintenance", "under maintenance", "scheduled maintenance", "maintenance mode", "we expect to be back", "will be back in a few minutes", "will be back", "we'll be back", "be right back", "try again later",
+    "server is busy", "server error", "unavailable right now", "is unavailable", "cannot be found", "can not be found", "could not be loaded", "cannot be loaded", "does not exist", "doesn't exist", "could not be resolved", "did not answer in time", "bad handshake", "this is awkward", "we are sorry", "we're sorry", "sorry", "oops", "hmm", "try the search", "use the search", "error id", "could not be found", "has been removed", "has been deleted", "was removed", "no longer available", "is no longer here", "come back later", "come back soon", "back shortly", "fatal: uncaught", "uncaught exception", "traceback", "stack trace", "that address", "down for maintenance", "under maintenance", "scheduled maintenance", "maintenance mode", "we expect to be back", "will be back in a few minutes", "will be back", "we'll be back", "be right back", "try again later",
     "please try again", "wait a moment and reload", "wait and reload", "seconds and reload", "minutes and reload", "you have sent too many", "and reload", "session has expired", "session has run out", "session expired", "sign in again", "log in again", "please log in", "please sign in", "you must be logged in", "you must log in", "you need to log in",
     "you have to log in", "login required", "register before", "register to", "please register", "log in before", "sign in before", "log in first", "sign in first", "members only", "only for members", "only members can", "for registered users", "sign in to", "log in to continue", "log in to see", "forgot your password", "forgotten your password", "requestid", "request id", "error code", "this account has been suspended", "nothing to see here", "no such page",
     # Spanish
@@ -127,6 +127,7 @@ FILLER_WORDS = frozenset(
     "val row n na 123 foo bar baz qux quux spam eggs test testing tests asdf asdfg asdfgh asd sdf qwer qwert qwerty qwertz yxcv zxcv zxcvb jklö jkl hjkl dfgh fghj uiop wasd xyz xxx xxxx abc abcd def blah bla blub yada lalala hello world dummy filler placeholder "
     "sample example copy text word words sentence paragraph heading title body item content goes here comes some more until final arrives the a of and this is for".split()
 )
+_STAND_INS = frozenset(("copy", "word", "words", "sentence", "text", "paragraph", "placeholder", "filler", "dummy", "item"))
 #: The syllables of which made-up Latin is put together.
 SYLLABLES = re.compile(r"(?:al|con|do|ex|fe|lam|mi|ne|nus|pi|qua|rit|sed|tor|ur|vel|lor|rem|ip|sum|lo|dol|sit|amet|tem|por|nim|ven|tis|bus|tur)+")
 #: Words for scripts, and words that say what for, in languages in which posts do not name both in one sentence.
@@ -137,8 +138,11 @@ _PURPOSE_WORD = re.compile(
 )
 #: A line of a stack trace.
 _FRAME = re.compile(r"^(?:at .{1,120}[:(]\d+\)?|file \".*\", line \d+.*|.{1,80} on line \d+\.?|traceback.*:)$")
+#: A line that only announces content, and one that names an error by its number or status.
+_STUB = re.compile(r"^(?:\w+ ){1,2}(?:to follow|to come|\(empty\)|\(none\)|\(missing\)|n/a|n/a yet|pending|missing|empty)[\s.!…:-]*$")
+_ERROR_LINE = re.compile(r"^(?:error|fehler|erreur|erro|ошибка|エラー)[ :#]*\d{3,5}\W*$|\berror\b.*\bstatus\b\W+[45]\d\d\b")
 #: A line of a stack trace or of an error's number, anywhere in a text.
-_TRACE = re.compile(r"^\s*at .{1,120}[:(]\d+\)?$|\bon line \d+|\bline \d+, in\b|^(?:<[^<>\n]*>|\W)*(?:(?:http|error|status|code)\b[ /:]*[\d.]*\W*)?[45]\d\d\b|<error>", re.MULTILINE)
+_TRACE = re.compile(r"^\s*at .{1,120}[:(]\d+\)?$|\bon line \d+|\bline \d+, in\b|^(?:<[^<>\n]*>|\W)*(?:(?:http|error|status|code)\b[ /:]*[\d.]*\W*)?[45]\d\d\b|<error>|^\W*(?:error|fehler|erreur|erro) \d{3,5}\W*$|\berror\b.*\bstatus\b\W+[45]\d\d\b|^(?:\w+ ){1,2}(?:to follow|to come|\(empty\)|\(none\)|\(missing\)|n/a|pending|missing|empty)(?!\w)", re.MULTILINE)
 #: Those of them that are ordinary words as well and prove nothing alone.
 _COMMON = frozenset("a the of and this is for do in ad id non some more until final here goes comes arrives title body item content text word words sentence copy example sample test tests testing hello world paragraph heading ex et est sed row n na val".split())
 
@@ -213,7 +217,9 @@ def is_filler(text: str) -> bool:
     words = _WORD.findall(text)
     if len(words) < 2:
         return False
-    if len(words) >= 3 and len(set(words)) == 1 and words[0] in FILLER_WORDS:
+    if len(set(words)) == 1 and words[0] in FILLER_WORDS:
+        return True
+    if len(words) >= 6 and len(set(words)) < len(words) and all(w in FILLER_WORDS for w in words) and not _STAND_INS.isdisjoint(words):
         return True
     if len(words) >= 5 and sum(SYLLABLES.fullmatch(w) is not None for w in words) >= 0.9 * len(words):
         return True
@@ -245,7 +251,7 @@ def _measure(text: str) -> tuple[int, int]:
             continue
         if not bare:
             continue
-        if _FRAME.match(bare) or (bare.count("|") > 2 and is_filler(bare)):
+        if _FRAME.match(bare) or _STUB.match(bare) or _ERROR_LINE.search(bare) or (bare.count("|") > 2 and is_filler(bare)):
             covered += _weight(bare)
             continue
         if FURNITURE.match(bare):
@@ -302,12 +308,18 @@ def _may_be_filler(low: str) -> bool:
     return bool(words)
 
 
+def _core(plain: str) -> str:
+    """A text in lower case without tags, blank lines and furniture."""
+    lines = (y.strip() for y in _TAG.sub("\n", plain).lower().split("\n"))
+    return "\n".join(x for x in lines if x and (len(x) > 100 or not FURNITURE.match(x) or x.count("|") > 2 and is_filler(x)))
+
+
 def _may_be_covered(plain: str) -> bool:
     """False only where nothing that could count as covered is in the text."""
     low = plain.lower()
     if next(automaton().iter(low), None) is not None or PLACEHOLDERS.search(plain) or _SCRIPT_WORD.search(low) or _TRACE.search(low):
         return True
-    return _may_be_filler(low)
+    return _may_be_filler(_core(plain))
 
 
 def coverage(text: str | None) -> float:
@@ -318,7 +330,7 @@ def coverage(text: str | None) -> float:
     if not _may_be_covered(plain):
         return 0.0
     plain = _ERROR_TAG.sub(r" error code \1 ", plain)
-    core = "\n".join(x for x in (y.strip() for y in _TAG.sub("\n", plain).lower().split("\n")) if x and (not FURNITURE.match(x) or x.count("|") > 2 and is_filler(x)))
+    core = _core(plain)
     if is_filler(core):
         return 1.0
     # What stands around quotations, with a sign in the place of each.

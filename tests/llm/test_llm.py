@@ -148,7 +148,7 @@ def test_a_third_of_all_rows_of_one_size(spark):
 
 CASES = [
     "Hi {{ name }},\n\n${body}\n\nRegards\n%%SIGNATURE%%", "<h1>__TITLE__</h1>\n<div class=\"post\">[BODY]</div>", "Title: <%= title %>\nTags: #{tag}", "%(date)s\n\n© board 2013", "{0}",
-    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor.", "xxxxxxxxxxxxxxxxxxxxxxxxxx", "asdf asdf qwer test foo bar", "1. Item 1\n2. Item 2\n3. Item 3", "Hier steht später der Text der Antwort.", "Body coming soon ...",
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor.", "xxxxxxxxxxxxxxxxxxxxxxxxxx", "asdf asdf qwer test foo bar", "1. Item 1\n2. Item 2\n3. Item 3", "Hier steht später der Text der Antwort.", "Body coming soon ...", "Answer to follow.", "Inhalt (empty)", "Error 1035\nThe origin did not answer in time.\nRay 15247e38", "We are sorry! this post does not exist. Error id 28bd404c.", "Copy final copy more copy until copy final here more copy sentence.",
     "404 Not Found\n\nserver/1.2", "<html><head><title>502 Bad Gateway</title></head><body><h1>502 Bad Gateway</h1></body></html>", "HTTP/1.1 503 Service Unavailable\nServer: x/1.0\nContent-Length: 0", "Access denied. You don't have permission to view /a on this server.",
     "Your session has expired. Log in again to continue.", "This board is down for maintenance. We expect to be back by 06:00 UTC.", "Страница не найдена.", "Página não encontrada. O tópico foi removido.", "ページが見つかりません。",
     "This page needs JavaScript. Turn it on in your browser and reload.", "Bitte JavaScript einschalten, um diese Seite zu sehen.", "Veuillez autoriser les scripts pour afficher cette page.\n\nRef 44579070", "このページを表示するには JavaScript を有効にしてください。",
