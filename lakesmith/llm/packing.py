@@ -76,6 +76,12 @@ def pieces(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "to
     return cut.select(F.col("k").alias(key), "piece", first.alias("first"), F.least(F.col("n") - first, F.lit(capacity)).cast("int").alias("tokens"))
 
 
+def piece_count(sizes: DataFrame, capacity: int, size: str = "tokens") -> int:
+    """How many pieces smaller than a container the items give: at most one each."""
+    n = F.col(f"`{size}`")
+    return sizes.select(F.count_if((n > 0) & (n % capacity != 0))).first()[0]
+
+
 def pack(sizes: DataFrame, capacity: int, expected_items: int, key: str = "doc_id", size: str = "tokens", group_items: int = GROUP_ITEMS) -> DataFrame:
     """(container_id, key, piece, first, tokens): every item in containers of at most `capacity`.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakesmith.llm import bpe, packing, residue
+from lakesmith.plans.durable import durable
 from lakesmith.tables import table
 
 #: Capacity of a container in tokens.
@@ -19,8 +20,9 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     """(container_id, doc_id, piece, first, tokens): the documents in containers of CAPACITY tokens."""
-    documents = table(spark, folder, "documents")
-    return packing.pack(bpe.token_counts(documents), CAPACITY, expected_items=documents.count())
+    # The counts are a few bytes a document and are read three times; the texts are encoded once.
+    counts = durable(bpe.token_counts(table(spark, folder, "documents")))
+    return packing.pack(counts, CAPACITY, packing.piece_count(counts, CAPACITY))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
