@@ -25,8 +25,11 @@ def is_delete(marked: Column) -> Column:
     return F.coalesce(op, F.lit(False)) | F.coalesce(flag, F.lit(False))
 
 
-def unwrapped(value: Column) -> Column:
-    """The text of a variant; `{"id": x}` and `[x]` count as x, other objects and arrays as their JSON text."""
-    return F.coalesce(
-        F.try_variant_get(value, "$.id", "string"), F.try_variant_get(value, "$[0]", "string"), F.try_variant_get(value, "$", "string")
-    )
+def unwrapped(value: Column, path: str = "$") -> Column:
+    """The text of a variant at a path; `{"id": x}` and `[x]` count as x, other objects and arrays as their JSON text.
+
+    Only texts that begin like an object or array are looked into again.
+    """
+    text = F.try_variant_get(value, path, "string")
+    inner = F.coalesce(F.try_variant_get(value, f"{path}.id", "string"), F.try_variant_get(value, f"{path}[0]", "string"), text)
+    return F.when(F.startswith(text, F.lit("{")) | F.startswith(text, F.lit("[")), inner).otherwise(text)

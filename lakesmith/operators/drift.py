@@ -27,20 +27,20 @@ RENAME_OVERLAP = 0.3
 _DIGITS = "0123456789"
 
 
-def json_type(value: Column) -> Column:
-    """string, number, boolean, object, array or null of a variant."""
-    kind = F.schema_of_variant(value)
+def json_type(json: Column) -> Column:
+    """string, number, boolean, object, array or null of a value's JSON text; its first sign tells."""
+    sign = F.left(json, F.lit(1))
     return (
-        F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number")
+        F.when(sign == '"', "string").when(sign == "{", "object").when(sign == "[", "array").when(sign.isin("t", "f"), "boolean")
+        .when(sign == "n", "null").when(json.isNotNull(), "number")
     )
 
 
-def path_values(records: DataFrame, payload: str = "_raw_payload", file: str = "_source_file", nested: str = "properties") -> DataFrame:
-    """(file, paths): each record as a list of (path, value), paths being its top-level keys and `nested.key`.
+def record_maps(records: DataFrame, payload: str = "_raw_payload", file: str = "_source_file", nested: str = "properties") -> DataFrame:
+    """(file, r, n): each record's top-level keys and those inside `nested`, as maps of key to variant.
 
-    `nested` may arrive as an object or as text that holds one. A payload that is NULL or no JSON object gives an empty
-    list, so its file is still known. Records without a file name are left out. Other columns are never read.
+    `nested` may arrive as an object or as text that holds one. A payload that is NULL or no JSON object gives NULLs, so
+    its file is still known. Records without a file name are left out. Other columns are never read.
     """
     record = F.expr(f"try_variant_get(try_parse_json(`{payload}`), '$', 'map<string,variant>')")
     inner = F.try_element_at(F.col("r"), F.lit(nested))
@@ -48,40 +48,40 @@ def path_values(records: DataFrame, payload: str = "_raw_payload", file: str = "
         F.try_variant_get(inner, "$", "map<string,variant>"),
         F.try_variant_get(F.try_parse_json(F.try_variant_get(inner, "$", "string")), "$", "map<string,variant>"),
     )
-    paths = F.concat(
-        F.map_entries("r"),
-        F.coalesce(
-            F.transform(F.map_entries("n"), lambda e: F.struct(F.concat(F.lit(f"{nested}."), e["key"]).alias("key"), e["value"].alias("value"))),
-            F.expr("array()").cast("array<struct<key:string,value:variant>>"),
-        ),
-    )
-    return (
-        records.select(F.col(file).alias("file"), record.alias("r"))
-        .filter(F.col("file").isNotNull())
-        .select("file", "r", parsed.alias("n"))
-        .select("file", F.coalesce(paths, F.expr("array()").cast("array<struct<key:string,value:variant>>")).alias("paths"))
-    )
+    return records.select(F.col(file).alias("file"), record.alias("r")).filter(F.col("file").isNotNull()).select("file", "r", parsed.alias("n"))
+
 
+def path_values(records: DataFrame, payload: str = "_raw_payload", file: str = "_source_file", kind: str = "event_type", nested: str = "properties") -> DataFrame:
+    """(file, kind, path, json): each record as path-value entries with the raw JSON text of each value.
+
+    Paths are the top-level keys and `nested.key`; kind is the record's own `kind` field. Entries that are no fields, and
+    records without any, have a NULL path, so that every file keeps at least one row.
+    """
+    own = F.lower(unwrapped(F.try_element_at(F.col("r"), F.lit(kind))))
+    maps = F.array(F.struct(F.lit("").alias("prefix"), F.col("r").alias("m")), F.struct(F.lit(f"{nested}.").alias("prefix"), F.col("n").alias("m")))
+    levels = record_maps(records, payload, file, nested).select("file", own.alias("kind"), F.explode(maps).alias("level"))
+    entries = levels.select("file", "kind", F.col("level.prefix").alias("prefix"), F.explode_outer("level.m").alias("key", "value"))
+    json = entries.select("file", "kind", F.concat("prefix", "key").alias("path"), F.to_json("value").alias("json"))
+    is_field = ~F.col("path").isin(*NOT_FIELDS) & (F.col("json") != "null")
+    return json.select("file", "kind", F.when(is_field, F.col("path")).alias("path"), "json")
 
-def value_shape(value: Column) -> Column:
-    """A class of values out of SHAPES: short texts with every digit alike, longer ones by their length."""
-    text = unwrapped(value)
-    short = F.translate(text, _DIGITS, "0" * 10)
-    return F.pmod(F.xxhash64(F.when(F.length(text) <= 32, short).otherwise(F.length(text).cast("string"))), F.lit(SHAPES)).cast("int")
+
+def value_shape(json: Column) -> Column:
+    """A class of values out of SHAPES: short texts with every digit alike, longer ones by their length. `{"id": x}` and `[x]` count as x."""
+    bare = F.when(F.left(json, F.lit(1)).isin("{", "["), F.regexp_replace(json, r'^\{"id":|^\[|[\]}]$', "")).otherwise(json)
+    short = F.translate(bare, _DIGITS + '"', "0" * 10)
+    return F.pmod(F.xxhash64(F.when(F.length(json) <= 40, short).otherwise(F.length(json).cast("string"))), F.lit(SHAPES)).cast("int")
 
 
 def field_statistics(records: DataFrame, payload: str = "_raw_payload", file: str = "_source_file", kind: str = "event_type") -> DataFrame:
     """(file, path, type, kind, shape, n): how often each field of each file holds a value of this type and class.
 
-    kind is the record's own `kind` field, by which the records are told apart. Fields whose value is null do not count.
-    A file without any field has one row with NULL path.
+    Fields whose value is null do not count. A file without any field has rows with NULL path only.
     """
-    entries = path_values(records, payload, file)
-    own = F.filter("paths", lambda e: e["key"] == kind)
-    found = F.filter("paths", lambda e: ~e["key"].isin(*NOT_FIELDS) & ~F.is_variant_null(e["value"]))
-    rows = entries.select("file", F.lower(unwrapped(F.try_element_at(own, F.lit(1))["value"])).alias("kind"), F.explode_outer(found).alias("e"))
+    found = F.col("path").isNotNull()
     return (
-        rows.select("file", "kind", F.col("e.key").alias("path"), json_type(F.col("e.value")).alias("type"), value_shape(F.col("e.value")).alias("shape"))
+        path_values(records, payload, file, kind)
+        .select("file", "path", F.when(found, F.col("kind")).alias("kind"), F.when(found, json_type(F.col("json"))).alias("type"), F.when(found, value_shape(F.col("json"))).alias("shape"))
         .groupBy("file", "path", "type", "kind", "shape")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -174,19 +174,14 @@ def unify(records: DataFrame, catalog: list[tuple[str, str]], aliases: dict[str,
     types = dict(catalog)
     cast = {"number": "double", "boolean": "boolean"}
     nested = "properties"
-    flat = records.select(F.col(file).alias("source_file"), F.try_parse_json(F.col(payload)).alias("v"))
-    inner = F.try_variant_get("v", f"$.{nested}", "variant")
-    flat = flat.select(
-        "source_file", F.expr("try_variant_get(v, '$', 'map<string,variant>') is not null").alias("is_valid"), "v",
-        F.coalesce(F.when(F.schema_of_variant(inner) == "STRING", F.try_parse_json(F.try_variant_get(inner, "$", "string"))), inner).alias("p"),
-    )
+    flat = record_maps(records.withColumn("__file", F.struct(F.col(file).alias("f"))), payload, "__file", nested).select(F.col("file.f").alias("source_file"), F.col("r").isNotNull().alias("is_valid"), "r", "n")
 
     def raw(path: str) -> Column:
-        base, key = ("p", path[len(nested) + 1 :]) if path.startswith(f"{nested}.") else ("v", path)
-        quoted = key.replace("\\", "\\\\").replace("'", "\\'")
-        return unwrapped(F.try_variant_get(base, f"$['{quoted}']", "variant"))
+        level, key = ("n", path[len(nested) + 1 :]) if path.startswith(f"{nested}.") else ("r", path)
+        return F.try_element_at(F.col(level), F.lit(key))
 
-    texts = {path: F.coalesce(*(raw(n) for n in own)) for path, own in names.items()}
+    # A JSON null under one name does not hide a value under another.
+    texts = {path: F.coalesce(*(unwrapped(raw(n)) for n in own)) for path, own in names.items()}
     flat = flat.select("source_file", "is_valid", *(t.alias(column_name(p)) for p, t in texts.items()))
     typed = {p: F.col(column_name(p)).try_cast(cast[types[p]]) if types[p] in cast else F.col(column_name(p)) for p in texts}
     failed = F.array_compact(F.array(*(F.when(F.col(column_name(p)).isNotNull() & c.isNull(), p) for p, c in typed.items())))
