@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesmith.functions.payload import unwrapped
+from lakesmith.functions.payload import json_type, unwrapped
 
 #: Change markers that say something about a record and are no fields of it.
 NOT_FIELDS = ("op", "is_deleted", "properties.corrected")
@@ -27,15 +27,6 @@ RENAME_OVERLAP = 0.3
 _DIGITS = "0123456789"
 
 
-def json_type(json: Column) -> Column:
-    """string, number, boolean, object, array or null of a value's JSON text; its first sign tells."""
-    sign = F.left(json, F.lit(1))
-    return (
-        F.when(sign == '"', "string").when(sign == "{", "object").when(sign == "[", "array").when(sign.isin("t", "f"), "boolean")
-        .when(sign == "n", "null").when(json.isNotNull(), "number")
-    )
-
-
 def record_maps(records: DataFrame, payload: str = "_raw_payload", file: str = "_source_file", nested: str = "properties") -> DataFrame:
     """(file, r, n): each record's top-level keys and those inside `nested`, as maps of key to variant.
 

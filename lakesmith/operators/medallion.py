@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesmith.functions.canon import canonical_id
+from lakesmith.functions.payload import json_type
 
 #: The event types and plans of the domain, and those event types that belong to a ticket.
 EVENT_TYPES = ("ticket_opened", "ticket_replied", "ticket_closed", "login", "feature_used", "export_generated", "report_viewed", "subscription_changed")
@@ -75,6 +76,20 @@ def latest(rows: DataFrame, key: str, order: tuple[str, ...] = ("updated_at", "_
     return rows.withColumn(key, k).filter(F.col(key).isNotNull()).groupBy(key).agg(best).select(*(F.col(key) if c == key else F.col(f"__best.`{c}`") for c in rows.columns))
 
 
+def versions_of(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """All stored versions of one record, oldest first; an unknown key gives no rows. The identifier may be in any spelling."""
+    return rows.filter(canonical_id(key) == canonical_id(F.lit(value))).orderBy("updated_at", "_ingested_at")
+
+
+def properties_schema(events: DataFrame) -> DataFrame:
+    """(event_type, property, json_type, n): which properties the events of each type carry, and as what.
+
+    Counted over all rows; broken or missing properties have none. A report only, so it never fails a run.
+    """
+    entries = events.select("event_type", F.explode(F.expr("try_variant_get(try_parse_json(properties), '$', 'map<string,variant>')")).alias("property", "value"))
+    return entries.groupBy("event_type", "property", json_type(F.to_json("value")).alias("json_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def valid_json(text: Column) -> Column:
     """NULL is valid (nothing was said), '' and broken texts are not; scalars are."""
     return text.isNull() | F.get_json_object(text, "$").isNotNull()

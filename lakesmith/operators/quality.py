@@ -82,6 +82,23 @@ def freshness(rows: DataFrame, reference: Column, at: str = "occurred_at", table
     return _result(counted, "CHECK_FRESHNESS", F.lit("warning"), F.when(stale, "warning").otherwise("passed"), table_name)
 
 
+def violations(rows: DataFrame, table_name: str, not_null: tuple[str, ...] = (), unique: tuple[str, ...] = (), domains: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(table_name, rule, violations): the declared constraints of a source table, one row each, in two passes whatever their number.
+
+    NULL breaks not_null only; a repeated key counts once for every row beyond its first.
+    """
+    rules = {f"{c} is not null": F.count_if(F.col(c).isNull()) for c in not_null}
+    rules |= {f"{c} in its domain": F.count_if(~F.col(c).isin(*allowed)) for c, allowed in (domains or {}).items()}
+    parts = []
+    if rules:
+        named = F.array(*(F.struct(F.lit(rule).alias("rule"), F.col(f"r{i}").alias("violations")) for i, rule in enumerate(rules)))
+        parts.append(rows.agg(*(c.alias(f"r{i}") for i, c in enumerate(rules.values()))).select(F.inline(named)))
+    if unique:
+        extra = rows.groupBy(*unique).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
+        parts.append(extra.select(F.lit(f"{', '.join(unique)} is unique").alias("rule"), "violations"))
+    return reduce(DataFrame.unionByName, parts).select(F.lit(table_name).alias("table_name"), "rule", "violations")
+
+
 def samples(rows: DataFrame, key: tuple[str, ...], n: int = 10) -> DataFrame:
     """The first n repeated keys in order, for the details of a result."""
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(*key).limit(n)

@@ -260,3 +260,16 @@ _check("check_volumetry", lambda e, c: quality.volumetry(quality.volume_history(
 _check("check_domain_values", lambda e, c: quality.domain_values(e, "event_type", medallion.EVENT_TYPES, "silver.events").unionByName(quality.domain_values(c, "plan", medallion.PLANS, "silver.customers")))
 _check("check_freshness", lambda e, c: quality.freshness(e, _reference()))
 _check("quality_report", lambda e, c: quality.report(e, c, _reference()))
+
+
+@query
+def properties_schema(spark: SparkSession, folder: str) -> DataFrame:
+    """Which properties the events of each type carry."""
+    return medallion.properties_schema(_silver(spark, folder))
+
+
+@query
+def constraint_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """The declared constraints of the customers at the source, held against their lines as delivered."""
+    lines = table(spark, folder, "bronze_customers")
+    return quality.violations(lines, "customers", ("customer_id", "company_name", "plan", "country", "updated_at"), ("customer_id", "updated_at"), {"plan": medallion.PLANS})

@@ -167,4 +167,12 @@ SQL: dict[str, str] = {
     "check_domain_values": f"WITH {_SILVER}, {_DIM} {_DOMAINS}",
     "check_freshness": f"WITH {_SILVER} {_FRESHNESS}",
     "quality_report": f"WITH {_SILVER}, {_DIM}, {_VOLUMES} {_UNIQUENESS} UNION ALL {_REFERENTIAL} UNION ALL {_VOLUMETRY} UNION ALL {_DOMAINS} UNION ALL {_FRESHNESS}",
+    "properties_schema": f"""WITH {_SILVER}, e AS (SELECT event_type, unnest(json_keys(CAST(properties AS JSON))) AS property, CAST(properties AS JSON) AS j FROM silver WHERE json_valid(properties) AND json_type(properties) = 'OBJECT')
+      SELECT event_type, property, CASE json_type(json_extract(j, '$."' || property || '"')) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END AS json_type, count(*) AS n
+      FROM e GROUP BY ALL""",
+    "constraint_violations": " UNION ALL ".join(
+        f"SELECT 'customers' AS table_name, '{c} is not null' AS rule, count(*) FILTER (WHERE {c} IS NULL) AS violations FROM bronze_customers" for c in ("customer_id", "company_name", "plan", "country", "updated_at")
+    )
+    + f" UNION ALL SELECT 'customers', 'plan in its domain', count(*) FILTER (WHERE plan NOT IN ({_list(PLANS)})) FROM bronze_customers"
+    + " UNION ALL SELECT 'customers', 'customer_id, updated_at is unique', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM bronze_customers GROUP BY customer_id, updated_at)",
 }

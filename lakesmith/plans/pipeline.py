@@ -53,6 +53,8 @@ class Pipeline:
     run_id: str = field(default_factory=lambda: str(uuid.uuid4()))
     on_failure: Callable[[str, BaseException], None] = lambda stage, error: None
     on_success: Callable[[dict[str, Any]], None] = lambda summary: None
+    on_late: Callable[[str, float], None] = lambda stage, seconds: None
+    sla_seconds: float = 2 * 3600
 
     def _now(self) -> Column:
         return F.timestamp_micros(F.lit(int(self.reference().timestamp() * 1_000_000)))
@@ -189,6 +191,10 @@ class Pipeline:
                 log("stage_failed", logging.ERROR, stage=name, error=str(error)[:500])
                 self.on_failure(name, error)
                 raise
-            log("stage_done", stage=name, duration_seconds=round(monotonic() - began, 3))
+            took = monotonic() - began
+            log("stage_done", stage=name, duration_seconds=round(took, 3))
+            if took > self.sla_seconds:
+                log("stage_late", logging.WARNING, stage=name, duration_seconds=round(took, 3), sla_seconds=self.sla_seconds)
+                self.on_late(name, took)
         self.on_success(summary)
         return summary

@@ -73,3 +73,14 @@ def normalized_json(rows: DataFrame) -> DataFrame:
             c = c.cast("double")
         made.append(c.alias(f.name))
     return rows.select(F.to_json(F.struct(*made), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def json_view(spark: SparkSession, path: str, name: str) -> None:
+    """A temporary SQL view over JSON files."""
+    escaped = path.replace("'", "\\'")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} USING json OPTIONS (path '{escaped}')")
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A report as CSV with a header, every value quoted and NULL empty. One file: reports are small by their nature."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).option("emptyValue", "").option("nullValue", "").csv(path)

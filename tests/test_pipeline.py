@@ -35,6 +35,8 @@ def test_versions_time_travel_and_tags(store, spark):
     assert rows_of(store.read("t", 1), "k", "v") == [("a", 1)]
     assert rows_of(store.read("t", "before"), "k", "v") == [("a", 1), ("b", 2)]
     assert [(v.operation, v.parts, v.tags) for v in store.history("t")] == [("create", (), ()), ("append", (1,), ()), ("append", (1, 2), ("before",)), ("merge", (3,), ())]
+    assert rows_of(store.partitions("t"), "part", "rows") == [("2026-01-01", 2)]
+    assert store.read("t", period=("2026-01-02", "2026-01-09")).count() == 0 and store.read("t", period=("2026-01-01", "2026-01-01")).count() == 2
     assert store.compact("t") == 4
     assert store.vacuum("t", keep=1) == [3]
     assert store.read("t", "before").count() == 2 and store.tables() == ["t"]
@@ -72,6 +74,15 @@ def test_raw_zone_keeps_each_line_once(spark, tmp_path):
     assert all(r[0].endswith(".json.gz") for r in back.select("_source_file").collect())
 
 
+def test_reports_as_quoted_csv_and_views_over_json(spark, tmp_path):
+    rawlines.write_csv(spark.createDataFrame([("a", 1), (None, 2)], "k string, v int"), str(tmp_path / "csv"))
+    (file,) = (tmp_path / "csv").glob("*.csv")
+    assert file.read_text() == '"k","v"\n"a","1"\n"","2"\n'
+    (tmp_path / "x.json").write_text('{"a": 1}\n{"a": 2}\n')
+    rawlines.json_view(spark, str(tmp_path / "x.json"), "some_json")
+    assert spark.sql("SELECT sum(a) FROM some_json").first()[0] == 3
+
+
 def test_source_rows_become_uniform_json(spark):
     rows = spark.sql("SELECT timestamp'2026-01-01 00:00:00' AS u, date'2026-01-02' AS d, cast(1.50 AS decimal(5,2)) AS n, cast(NULL AS string) AS x, true AS b")
     assert json.loads(rawlines.normalized_json(rows).first()[0]) == {"u": "2026-01-01T00:00:00.000000Z", "d": "2026-01-02", "n": 1.5, "x": None, "b": True}
@@ -165,8 +176,8 @@ def snapshot(p):
 
 
 def test_pipeline_twice_then_a_second_batch(spark, tmp_path):
-    done = []
-    p = Pipeline(spark, Store(spark, str(tmp_path / "s")), str(tmp_path / "r"), reference=lambda: NOW, on_success=done.append)
+    done, late = [], []
+    p = Pipeline(spark, Store(spark, str(tmp_path / "s")), str(tmp_path / "r"), reference=lambda: NOW, on_success=done.append, on_late=lambda stage, seconds: late.append(stage), sla_seconds=0)
     events = [raw_event("e_1"), raw_event("e_1"), raw_event("e_2", t="Ticket_Opened"), raw_event(None), raw_event("e_3", c=None)]
     fetch = {"events": lambda since: [r for r in events if r["updated_at"] >= since], "customers": lambda since: [raw_customer("c_1")]}
     p.run("2026-03-04", fetch)
@@ -176,7 +187,7 @@ def test_pipeline_twice_then_a_second_batch(spark, tmp_path):
     assert p.watermark("events") == "2026-03-04T00:00:00Z"
     assert p.store.read("quality.check_results").count() == 7
     p.run("2026-03-04", fetch)
-    assert snapshot(p) == first and p.store.read("bronze.events").count() == 4 and len(done) == 2
+    assert snapshot(p) == first and p.store.read("bronze.events").count() == 4 and len(done) == 2 and "gold" in late
     assert p.store.read("quality.check_results").count() == 14
     # The next day brings a correction, an older change, a new event and a changed plan.
     events += [raw_event("e_1", u="2026-03-05T00:00:00Z", t="report_viewed", source_app="web"), raw_event("e_2", u="2026-03-03T00:00:00Z", t="login"), raw_event("e_4", u="2026-03-05T00:00:00Z")]

@@ -55,6 +55,18 @@ def test_daily_and_monthly_aggregates_treat_null_customers_differently(table):
     assert rows_of(activity.select("customer_id", "event_count", "has_activity", F.col("signup_month").cast("string"))) == [("c_1", 2, True, "2025-12-01"), ("c_9", 1, True, None)]
 
 
+def test_point_lookup_and_properties(table):
+    rows = table(EVENT, [("e_1", "c", "login", T0, T1, "b", None, T0, "a"), (" E_1", "c", "login", T0, T0, "a", None, T0, "a"), ("e_2", "c", "login", T0, T0, "c", None, T0, "a")])
+    assert [r["channel"] for r in medallion.versions_of(rows, "event_id", "E_1 ").collect()] == ["a", "b"] and medallion.versions_of(rows, "event_id", "e_9").count() == 0
+    events = table(SILVER, [silver("e_1", p='{"a": 1, "b": null}'), silver("e_2", p='{"a": "x", "c": {"d": 1}}'), silver("e_3", p="broken"), silver("e_4")])
+    assert rows_of(medallion.properties_schema(events), "property", "json_type", "n") == [("a", "number", 1), ("a", "string", 1), ("b", "null", 1), ("c", "object", 1)]
+
+
+def test_declared_constraints(table):
+    rows = table("k string, plan string", [("a", "free"), ("a", "odd"), (None, None)])
+    assert rows_of(quality.violations(rows, "t", ("k", "plan"), ("k",), {"plan": medallion.PLANS}), "rule", "violations") == [("k is not null", 1), ("k is unique", 1), ("plan in its domain", 1), ("plan is not null", 1)]
+
+
 # Merge
 
 PAIR = "k string, v int, w int"
