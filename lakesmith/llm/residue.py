@@ -141,8 +141,16 @@ _FRAME = re.compile(r"^(?:at .{1,120}[:(]\d+\)?|file \".*\", line \d+.*|.{1,80}
 #: A line that only announces content, and one that names an error by its number or status.
 _STUB = re.compile(r"^(?:\w+ ){1,2}(?:to follow|to come|\(empty\)|\(none\)|\(missing\)|n/a|n/a yet|pending|missing|empty)[\s.!…:-]*$")
 _ERROR_LINE = re.compile(r"^(?:error|fehler|erreur|erro|ошибка|エラー)[ :#]*\d{3,5}\W*$|\berror\b.*\bstatus\b\W+[45]\d\d\b")
-#: A line of a stack trace or of an error's number, anywhere in a text.
-_TRACE = re.compile(r"^\s*at .{1,120}[:(]\d+\)?$|\bon line \d+|\bline \d+, in\b|^(?:<[^<>\n]*>|\W)*(?:(?:http|error|status|code)\b[ /:]*[\d.]*\W*)?[45]\d\d\b|<error>|^\W*(?:error|fehler|erreur|erro) \d{3,5}\W*$|\berror\b.*\bstatus\b\W+[45]\d\d\b|^(?:\w+ ){1,2}(?:to follow|to come|\(empty\)|\(none\)|\(missing\)|n/a|pending|missing|empty)(?!\w)", re.MULTILINE)
+#: Signs without which a text holds no placeholder, and signs with the patterns that are worth a search where they occur.
+_PLACEHOLDER_SIGNS = ("{", "%", "<%", "[", "@@", "__", "<")
+_TRACES = (
+    (("script", "js", "skript", "скрипт", "スクリプト", "脚本", "스크립트"), _SCRIPT_WORD),
+    (("at ",), re.compile(r"^[ \t]*at .{1,120}[:(]\d+\)?$", re.MULTILINE)),
+    (("line ",), re.compile(r"\bon line \d+|\bline \d+, in\b")),
+    (("error", "fehler", "erreur", "erro", "ошибка", "エラー"), re.compile(r"<error>|^\W*(?:error|fehler|erreur|erro|ошибка|エラー)[ :#]*\d{3,5}\W*$|\berror\b.*\bstatus\b\W+[45]\d\d\b", re.MULTILINE)),
+    (("4", "5"), re.compile(r"^(?:<[^<>\n]*>|[^\w\n])*(?:(?:http|error|status|code)\b[ /:]*[\d.]*[^\w\n]*)?[45]\d\d\b", re.MULTILINE)),
+    (("to follow", "to come", "(empty)", "(none)", "(missing)", " n/a", " pending", " missing", " empty"), re.compile(r"^(?:\w+ ){1,2}(?:to follow|to come|\(empty\)|\(none\)|\(missing\)|n/a|pending|missing|empty)(?!\w)", re.MULTILINE)),
+)
 #: Those of them that are ordinary words as well and prove nothing alone.
 _COMMON = frozenset("a the of and this is for do in ad id non some more until final here goes comes arrives title body item content text word words sentence copy example sample test tests testing hello world paragraph heading ex et est sed row n na val".split())
 
@@ -293,15 +301,19 @@ def _measure(text: str) -> tuple[int, int]:
     return covered, own
 
 
+_AROUND = ".,;:!?…()[]|-–—\"'0123456789"
+
+
 def _may_be_filler(low: str) -> bool:
     """Whether filler could make up most of a text. Reads all of it, and stops as soon as its other words are too many."""
     counts = sorted((low.count(c) for c in "abcdefghijklmnopqrstuvwxyz"), reverse=True)
     if sum(counts[:8]) >= 0.85 * sum(counts):
         return sum(counts) > 0
-    words = _WORD.findall(low)
+    words = low.split()
     spare = 0.5 * len(words)
     for w in words:
-        if w not in FILLER_WORDS and not SYLLABLES.fullmatch(w):
+        bare = w.strip(_AROUND)
+        if bare not in FILLER_WORDS and not SYLLABLES.fullmatch(bare) and _LETTER.search(bare):
             spare -= 1
             if spare < 0:
                 return False
@@ -317,7 +329,9 @@ def _core(plain: str) -> str:
 def _may_be_covered(plain: str) -> bool:
     """False only where nothing that could count as covered is in the text."""
     low = plain.lower()
-    if next(automaton().iter(low), None) is not None or PLACEHOLDERS.search(plain) or _SCRIPT_WORD.search(low) or _TRACE.search(low):
+    if next(automaton().iter(low), None) is not None or any(x in plain for x in _PLACEHOLDER_SIGNS) and PLACEHOLDERS.search(plain):
+        return True
+    if any(pattern.search(low) for signs, pattern in _TRACES if any(x in low for x in signs)):
         return True
     return _may_be_filler(_core(plain))
 
