@@ -100,12 +100,11 @@ class Pipeline:
         return {"table": name, "ingestion_date": day, "batch_id": batch, "records_read": count, "records_written": count}
 
     def _unprocessed(self, source: str, stage: str) -> tuple[DataFrame, str | None]:
-        """Bronze rows of the batches that the stage has not seen, and the batches' names once it has."""
-        bronze = self.store.read(f"bronze.{source}")
-        seen = [b for b in self.watermark(stage, "").split(",") if b]
-        fresh = bronze.filter(~F.col("_batch_id").isin(seen)) if seen else bronze
-        names = [r[0] for r in fresh.select("_batch_id").distinct().collect()]
-        return fresh, ",".join(sorted({*seen, *names})) if names else None
+        """The bronze rows appended since the stage last ran, and the version that it will then have seen; None if there is nothing new."""
+        name, seen = f"bronze.{source}", self.watermark(stage, "")
+        newest = self.store.current(name)
+        fresh = self.store.added(name, int(seen) if seen else None)
+        return fresh, None if newest is None or str(newest) == seen else str(newest)
 
     def _set_aside(self, rows: DataFrame, key: str, table: str) -> DataFrame:
         """Rows without key go to control.rejected_rows; the rest comes back."""

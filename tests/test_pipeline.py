@@ -29,6 +29,7 @@ def test_versions_time_travel_and_tags(store, spark):
     row = lambda k, v: spark.createDataFrame([(k, v)], "k string, v int").withColumn("at", F.lit("2026-01-01 05:00:00").cast("timestamp"))
     assert store.append("t", row("a", 1)) == 1
     assert store.append("t", row("b", 2)) == 2
+    assert rows_of(store.added("t", 1), "k") == [("b",)] and store.added("t", None).count() == 2 and store.added("t", 2).count() == 0
     store.tag("t", "before")
     store.replace("t", store.read("t").withColumn("v", F.col("v") + 1), "merge")
     assert rows_of(store.read("t"), "k", "v") == [("a", 2), ("b", 3)]
@@ -37,6 +38,7 @@ def test_versions_time_travel_and_tags(store, spark):
     assert [(v.operation, v.parts, v.tags) for v in store.history("t")] == [("create", (), ()), ("append", (1,), ()), ("append", (1, 2), ("before",)), ("merge", (3,), ())]
     assert rows_of(store.partitions("t"), "part", "rows") == [("2026-01-01", 2)]
     assert store.read("t", period=("2026-01-02", "2026-01-09")).count() == 0 and store.read("t", period=("2026-01-01", "2026-01-01")).count() == 2
+    assert store.added("t", 2).count() == 2
     assert store.compact("t") == 4
     assert store.vacuum("t", keep=1) == [3]
     assert store.read("t", "before").count() == 2 and store.tables() == ["t"]
