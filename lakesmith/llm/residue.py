@@ -6,7 +6,7 @@ own) is covered as a whole, otherwise only the phrase itself is; placeholders ar
 (titles of boards, navigation, references, copyright lines, tags) counts on neither side. What is quoted (indented,
 fenced, in backticks or quotation marks) is covered only if the text says nothing of its own around it.
 
-The automaton is built once per worker; a text is read as a whole and once; no shuffle is needed.
+The automaton is built once per worker; a text is read once, and to its end unless its answer is certain before; no shuffle is needed.
 """
 
 from __future__ import annotations
@@ -141,17 +141,7 @@ _FRAME = re.compile(r"^(?:at .{1,120}[:(]\d+\)?|file \".*\", line \d+.*|.{1,80}
 #: A line that only announces content, and one that names an error by its number or status.
 _STUB = re.compile(r"^(?:\w+ ){1,2}(?:to follow|to come|\(empty\)|\(none\)|\(missing\)|n/a|n/a yet|pending|missing|empty)[\s.!…:-]*$")
 _ERROR_LINE = re.compile(r"^(?:error|fehler|erreur|erro|ошибка|エラー)[ :#]*\d{3,5}\W*$|\berror\b.*\bstatus\b\W+[45]\d\d\b")
-#: Signs without which a text holds no placeholder, and signs with the patterns that are worth a search where they occur.
-_PLACEHOLDER_SIGNS = ("{", "%", "<%", "[", "@@", "__", "<")
-_TRACES = (
-    (("script", "js", "skript", "скрипт", "スクリプト", "脚本", "스크립트"), _SCRIPT_WORD),
-    (("at ",), re.compile(r"^[ \t]*at .{1,120}[:(]\d+\)?$", re.MULTILINE)),
-    (("line ",), re.compile(r"\bon line \d+|\bline \d+, in\b")),
-    (("error", "fehler", "erreur", "erro", "ошибка", "エラー"), re.compile(r"<error>|^\W*(?:error|fehler|erreur|erro|ошибка|エラー)[ :#]*\d{3,5}\W*$|\berror\b.*\bstatus\b\W+[45]\d\d\b", re.MULTILINE)),
-    (("4", "5"), re.compile(r"^(?:<[^<>\n]*>|[^\w\n])*(?:(?:http|error|status|code)\b[ /:]*[\d.]*[^\w\n]*)?[45]\d\d\b", re.MULTILINE)),
-    (("to follow", "to come", "(empty)", "(none)", "(missing)", " n/a", " pending", " missing", " empty"), re.compile(r"^(?:\w+ ){1,2}(?:to follow|to come|\(empty\)|\(none\)|\(missing\)|n/a|pending|missing|empty)(?!\w)", re.MULTILINE)),
-)
-#: Those of them that are ordinary words as well and prove nothing alone.
+#: Those stand-in words that are ordinary words as well and prove nothing alone.
 _COMMON = frozenset("a the of and this is for do in ad id non some more until final here goes comes arrives title body item content text word words sentence copy example sample test tests testing hello world paragraph heading ex et est sed row n na val".split())
 
 #: Placeholders that were never filled, as patterns.
@@ -178,6 +168,7 @@ _ADDRESS = re.compile(r"https?://\S+")
 _MARK = "\x01"
 _WORD = re.compile(r"[^\W\d_]+|\b123\b")
 _LETTER = re.compile(r"\w")
+_BETWEEN = re.compile(r"\W+")
 _STATUS = re.compile(r"^\W*(?:(?:http|error|status|code)\b[ /:]*[\d.]*\W*)?[45]\d\d\b\W*(?:error\b\W*)?", re.IGNORECASE)
 
 #: Notices ask no questions about things and never speak of an "I".
@@ -196,7 +187,7 @@ def automaton() -> ahocorasick.Automaton:
 
 def _weight(text: str) -> int:
     """Letters and digits of a text."""
-    return len(_LETTER.findall(text))
+    return len(_BETWEEN.sub("", text))
 
 
 def _phrases(line: str) -> list[tuple[int, int]]:
@@ -219,33 +210,51 @@ def _phrases(line: str) -> list[tuple[int, int]]:
 
 def is_filler(text: str) -> bool:
     """Whether a text consists of stand-in words, of one repeated sign, or of letters struck at random."""
-    letters = [c for c in text if c.isalpha()]
-    if len(letters) >= 12 and len(set(letters)) <= (2 if len(letters) < 24 else 8) and text.isascii():
-        return True
+    if text.isascii() and (distinct := sum(map(str.isalpha, set(text)))) <= 8:
+        letters = sum(map(str.isalpha, text))
+        if letters >= 12 and distinct <= (2 if letters < 24 else 8):
+            return True
     words = _WORD.findall(text)
-    if len(words) < 2:
+    count = len(words)
+    if count < 2:
         return False
-    if len(set(words)) == 1 and words[0] in FILLER_WORDS:
-        return True
-    if len(words) >= 6 and len(set(words)) < len(words) and all(w in FILLER_WORDS for w in words) and not _STAND_INS.isdisjoint(words):
+    known = sum(map(FILLER_WORDS.__contains__, words))
+    if known == count and (len(set(words)) == 1 or count >= 6 and len(set(words)) < count and not _STAND_INS.isdisjoint(words)):
         return True
-    if len(words) >= 5 and sum(SYLLABLES.fullmatch(w) is not None for w in words) >= 0.9 * len(words):
+    if count >= 5 and _mostly_syllables(words):
         return True
-    known = sum(w in FILLER_WORDS for w in words)
-    return known >= 0.85 * len(words) and any(w in FILLER_WORDS and w not in _COMMON for w in words)
+    return known >= 0.85 * count and any(w in FILLER_WORDS and w not in _COMMON for w in words)
+
+
+def _mostly_syllables(words: list[str]) -> bool:
+    """Whether nine words in ten are made-up Latin; stops as soon as too many are not."""
+    most = len(words)
+    for w in words:
+        if not SYLLABLES.fullmatch(w):
+            most -= 1
+            if most < 0.9 * len(words):
+                return False
+    return True
 
 
 def _plain(text: str) -> str:
     return unicodedata.normalize("NFKC", text).replace("’", "'").replace("‘", "'").replace("\r\n", "\n").replace("\r", "\n")
 
 
-def _measure(text: str) -> tuple[int, int]:
-    """(covered, own) letters and digits of a text without quotations; placeholders are marks already."""
+def _measure(text: str, enough: float = 0.0) -> tuple[int, int]:
+    """(covered, own) letters and digits of a text without quotations; placeholders are marks already.
+
+    Ends early only once the text could not be covered to the share `enough` even if all that is left were covered.
+    """
     covered = own = 0
-    for line in text.split("\n"):
-        low = line.strip().lower()
-        if not low:
-            continue
+    lines = [low for line in text.split("\n") if (low := line.strip().lower())]
+    # At most this can still be covered: all signs of the lines to come, 4 for a status line, 12 for each mark.
+    left = sum(map(len, lines)) + 4 * len(lines) + 12 * text.count(_MARK)
+    for low in lines:
+        # A share cannot be reached any more; 1 is for rounding. From 7 own letters on, what is quoted does not matter.
+        if own > 6 and own * enough > (covered + left) * (1 - enough) + 1:
+            break
+        left -= len(low) + 4 + 12 * low.count(_MARK)
         bare = low.replace(_MARK, " ").strip(" \t#*_>|-=")
         marks = low.count(_MARK)
         if marks:
@@ -267,7 +276,11 @@ def _measure(text: str) -> tuple[int, int]:
         if _STATUS.match(low) and len(_WORD.findall(low)) <= 8 and (_phrases(low) or re.fullmatch(_STATUS.pattern + r"[\w ,.'-]{0,40}", low, re.IGNORECASE)) and "`" not in low and " means " not in low and " is " not in low:
             covered += max(4, _weight(low))
             continue
+        ahead = left + len(low)
         for sentence in _SENTENCE.findall(low):
+            if own > 6 and own * enough > (covered + ahead) * (1 - enough) + 1:
+                break
+            ahead -= len(sentence)
             weight = _weight(sentence)
             if not weight:
                 continue
@@ -301,25 +314,6 @@ def _measure(text: str) -> tuple[int, int]:
     return covered, own
 
 
-_AROUND = ".,;:!?…()[]|-–—\"'0123456789"
-
-
-def _may_be_filler(low: str) -> bool:
-    """Whether filler could make up most of a text. Reads all of it, and stops as soon as its other words are too many."""
-    counts = sorted((low.count(c) for c in "abcdefghijklmnopqrstuvwxyz"), reverse=True)
-    if sum(counts[:8]) >= 0.85 * sum(counts):
-        return sum(counts) > 0
-    words = low.split()
-    spare = 0.5 * len(words)
-    for w in words:
-        bare = w.strip(_AROUND)
-        if bare not in FILLER_WORDS and not SYLLABLES.fullmatch(bare) and _LETTER.search(bare):
-            spare -= 1
-            if spare < 0:
-                return False
-    return bool(words)
-
-
 def _core(plain: str) -> str:
     """A text in lower case without tags, blank lines and furniture."""
     lines = (y.strip() for y in _TAG.sub("\n", plain).lower().split("\n"))
@@ -327,17 +321,15 @@ def _core(plain: str) -> str:
 
 
 def _may_be_covered(plain: str) -> bool:
-    """False only where nothing that could count as covered is in the text."""
-    low = plain.lower()
-    if next(automaton().iter(low), None) is not None or any(x in plain for x in _PLACEHOLDER_SIGNS) and PLACEHOLDERS.search(plain):
-        return True
-    if any(pattern.search(low) for signs, pattern in _TRACES if any(x in low for x in signs)):
-        return True
-    return _may_be_filler(_core(plain))
+    """False only where nothing that could count as covered is in the text: no letter, no digit and no sign of a placeholder."""
+    return _LETTER.search(plain) is not None or _MARK in plain or PLACEHOLDERS.search(plain) is not None
 
 
-def coverage(text: str | None) -> float:
-    """The covered share of a text in [0, 1]; 0 for NULL, empty and blank texts, and where only furniture stands."""
+def coverage(text: str | None, enough: float = 0.0) -> float:
+    """The covered share of a text in [0, 1]; 0 for NULL, empty and blank texts, and where only furniture stands.
+
+    Of a share below `enough` only that it is below is told.
+    """
     if not text or text.isspace():
         return 0.0
     plain = _plain(html.unescape(text))
@@ -350,7 +342,7 @@ def coverage(text: str | None) -> float:
     # What stands around quotations, with a sign in the place of each.
     outside = _QUOTED.sub("\x02", _INDENTED.sub("\x02", _FENCE.sub("\x02", _CODE_TAG.sub("\x02", plain))))
     outside = _TAG.sub("\n", PLACEHOLDERS.sub(_MARK, outside))
-    covered, own = _measure(outside)
+    covered, own = _measure(outside, enough)
     if "\x02" in outside and own <= 6 and covered == 0:
         inside = re.sub(r"^(?: {4}|\t|> ?)", "", _QUOTED.sub(lambda m: m.group()[1:-1], plain), flags=re.MULTILINE).replace("```", "")
         covered, own = _measure(_TAG.sub("\n", PLACEHOLDERS.sub(_MARK, inside)))
@@ -358,7 +350,7 @@ def coverage(text: str | None) -> float:
 
 
 def is_residue(text: str | None, threshold: float = COVERAGE) -> bool:
-    return coverage(text) >= threshold
+    return coverage(text, threshold) >= threshold
 
 
 def measure(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = COVERAGE) -> DataFrame:

@@ -187,6 +187,31 @@ def test_quick_answer_equals_full_measure(monkeypatch):
     assert [residue.coverage(t) >= residue.COVERAGE for t in texts] == quick
 
 
+WRAPS = ('<div id="post-1">{}</div>', "<p>{}</p>", "# {}", "> {}", '<div id="post-1"><p>{}</p></div>')
+
+
+@pytest.mark.parametrize("text", ["Description to follow", "Answer (empty)", "Error 1035", "foo/bar/baz/qux", '["YOUR NAME"]'])
+def test_short_cases_are_found_inside_tags_and_bullets(text):
+    assert residue.is_residue(text)
+    assert [w for w in WRAPS[:3] if not residue.is_residue(w.format(text))] == []
+
+
+def test_quick_answer_equals_full_measure_inside_tags_and_bullets(monkeypatch):
+    texts = [w.format(t) for t in CASES + OTHERS + ["Description to follow", "Answer (empty)", "Error 1035", "foo/bar/baz/qux"] if t for w in WRAPS]
+    quick = [residue.coverage(t) for t in texts]
+    monkeypatch.setattr(residue, "_may_be_covered", lambda text: True)
+    assert [residue.coverage(t) for t in texts] == quick
+
+
+def test_an_early_end_changes_no_answer():
+    rng = random.Random(10)
+    lines = [t for t in CASES + OTHERS if t]
+    for _ in range(400):
+        text = rng.choice(("\n", "\n\n", " ")).join(rng.choices(lines, k=rng.randrange(1, 12)))
+        for threshold in (0.2, residue.COVERAGE, 0.9):
+            assert residue.is_residue(text, threshold) == (residue.coverage(text) >= threshold)
+
+
 def test_very_long_texts_are_read_whole():
     own = "The scheduler reads its limit once, at start; changing it later has no effect. "
     assert not residue.is_residue(own * 20_000 + "404 Not Found")
