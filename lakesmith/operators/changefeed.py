@@ -15,12 +15,38 @@ from lakesmith.functions.payload import DELETE_OPS, INSERT_OPS, TRUE_WORDS
 
 FIELDS = ("customer_id", "event_type", "occurred_at", "channel", "properties")
 
+#: Fields that are objects themselves, so `{"id": x}` is their value and no wrapping.
+OBJECTS = ("properties",)
+
 
 def _words(words: tuple[str, ...]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-def _feed_sql(fields: tuple[str, ...], key: str, sequence: str, payload: str) -> str:
+def _literal(text: str) -> str:
+    """The inside of a string literal; signs are escaped, since braces mean tables here."""
+    return "".join(c if c.isalnum() or ord(c) > 0xFFFF else f"\\u{ord(c):04x}" for c in text)
+
+
+def _read_sql(field: str, names: tuple[str, ...], kind: str, record: str) -> tuple[str, str]:
+    """(value, whether it is set) of a field that a record may carry under several names; a JSON null under one does not hide a value under another."""
+    paths = [_literal(f'$["{n}"]') for n in (field, *names)]
+    texts = []
+    for path in paths:
+        text = f"try_variant_get({record}, '{path}', 'string')"
+        inner = f"coalesce(try_variant_get({record}, '{path}{_literal('.id')}', 'string'), try_variant_get({record}, '{path}{_literal('[0]')}', 'string'), {text})"
+        texts.append(text if field in OBJECTS else f"if(left({text}, 1) IN ('{_literal('{')}', '{_literal('[')}'), {inner}, {text})")
+    typed = [t if kind == "string" else f"try_cast({t} AS {kind})" for t in texts]
+    # Objects and other types stay as their column has them; a text column may hold the value wrapped, so the payload goes first.
+    value = ", ".join([typed[0], field, *typed[1:]] if kind == "string" and field not in OBJECTS else [field, *typed])
+    named = " OR ".join(f"try_variant_get({record}, '{path}') IS NOT NULL" for path in paths)
+    return f"coalesce({value})", f"({field} IS NOT NULL OR {named})"
+
+
+def _feed_sql(fields: tuple[str, ...], key: str, sequence: str, payload: str, aliases: dict[str, tuple[str, ...]], types: dict[str, str]) -> str:
+    record = f"try_parse_json({payload})"
+    read = {f: (f, f"({f} IS NOT NULL OR try_variant_get({record}, '$.{f}') IS NOT NULL)") for f in fields}
+    read |= {f: _read_sql(f, aliases[f], types.get(f, "string"), record) for f in fields if f in aliases}
     blanks = "".join(f"\\u{ord(c):04x}" for c in BLANKS)
     return f"""
     SELECT nullif(lower(btrim({key}, '{blanks}')), '') AS k,
@@ -31,17 +57,17 @@ def _feed_sql(fields: tuple[str, ...], key: str, sequence: str, payload: str) ->
            {", ".join(f"f_{f}, sets_{f}" for f in fields)}
     FROM (
       SELECT {key}, {sequence}, from_json({payload}, 'op string, is_deleted string') AS m,
-             {", ".join(f"{f} AS f_{f}" for f in fields)},
-             {", ".join(f"({f} IS NOT NULL OR try_variant_get(try_parse_json({payload}), '$.{f}') IS NOT NULL) AS sets_{f}" for f in fields)}
+             {", ".join(f"{read[f][0]} AS f_{f}" for f in fields)},
+             {", ".join(f"{read[f][1]} AS sets_{f}" for f in fields)}
       FROM {{feed}}
     )
     """
 
 
-def current_state_sql(fields: tuple[str, ...] = FIELDS, key: str = "event_id", sequence: str = "updated_at", payload: str = "_raw_payload") -> str:
-    """The statement behind `current_state`; `{feed}` stands for the table of changes."""
+def current_state_sql(fields: tuple[str, ...] = FIELDS, key: str = "event_id", sequence: str = "updated_at", payload: str = "_raw_payload", aliases: dict[str, tuple[str, ...]] | None = None, types: dict[str, str] | None = None) -> str:
+    """The statement behind `current_state`; `{feed}` stands for the table of changes. types: those of the aliased fields that are no texts."""
     return f"""
-    WITH feed AS ({_feed_sql(fields, key, sequence, payload)}),
+    WITH feed AS ({_feed_sql(fields, key, sequence, payload, aliases or {}, types or {})}),
     folded AS (
       SELECT k, min(seq) AS first_us, max(2 * seq + int(gone)) AS last, -- both in one long keeps the aggregate on hashes
              max(seq) FILTER (WHERE gone) AS gone_us,
@@ -56,11 +82,13 @@ def current_state_sql(fields: tuple[str, ...] = FIELDS, key: str = "event_id", s
     """
 
 
-def current_state(feed: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "event_id", sequence: str = "updated_at", payload: str = "_raw_payload") -> DataFrame:
+def current_state(feed: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "event_id", sequence: str = "updated_at", payload: str = "_raw_payload", aliases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """The state of every key after all changes: (key, first_us, updated_us, state, fields...).
 
     * A field is set by a change that carries a value for it or names it with an explicit JSON null; a payload that is no
       JSON can only set what its parsed columns hold.
+    * aliases: other names of a field. A field listed there (with no other name, too) is read from the payload under all of
+      its names, and `{"id": x}` and `[x]` count as x. A field that is not listed is its parsed column.
     * state is `deleted` when the last change is a delete (all fields are then NULL), else `live`. A delete forgets every
       earlier value; an insert replaces the record, so values older than the last insert do not survive it.
     * Repeated and out-of-order deliveries change nothing: the result is a maximum over sequences. Should two different
@@ -69,4 +97,5 @@ def current_state(feed: DataFrame, fields: tuple[str, ...] = FIELDS, key: str =
     * Changes without key (NULL or blank) or without sequence belong to no record and are left out. An empty feed gives
       an empty table. Columns of the feed that are not named here are never read.
     """
-    return feed.sparkSession.sql(current_state_sql(fields, key, sequence, payload), feed=feed)
+    types = {f: feed.schema[f].dataType.simpleString() for f in aliases or {}}
+    return feed.sparkSession.sql(current_state_sql(fields, key, sequence, payload, aliases, types), feed=feed)

@@ -21,11 +21,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return _changes(spark, folder).select(F.col("file").alias("source_file"), "field", "change")
 
 
+def _aliases(spark: SparkSession, folder: str, paths: list[str]) -> dict[str, str]:
+    return drift.field_aliases(_changes(spark, folder), paths)
+
+
 def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
     """All records in one table with the fields of the catalogue."""
     rows = table(spark, folder, "field_catalog").select("field_path", "json_type").distinct().orderBy("field_path", "json_type").collect()
     catalog = [(r["field_path"], r["json_type"]) for r in rows]
-    aliases = drift.field_aliases(_changes(spark, folder), [path for path, _ in catalog])
+    aliases = _aliases(spark, folder, [path for path, _ in catalog])
     return drift.unify(table(spark, folder, "bronze_events"), catalog, aliases)
 
 
@@ -99,11 +103,23 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_state(spark: SparkSession, folder: str) -> DataFrame:
-    """The event table after all changes."""
-    return _state(spark, folder).filter("state = 'live'").drop("first_us", "state").withColumn("occurred_at", F.unix_micros("occurred_at"))
+    """The event table after all changes, each field under the name that the bronze job knew."""
+    return _live(_state(spark, folder))
+
+
+def p7_unified(spark: SparkSession, folder: str) -> DataFrame:
+    """The event table after all changes, each field under all names that it had."""
+    names = [r["field_path"] for r in table(spark, folder, "field_catalog").select("field_path").distinct().collect()]
+    aliases = _aliases(spark, folder, sorted({*names, *changefeed.FIELDS}))
+    own = {f: tuple(sorted(a for a, to in aliases.items() if to == f)) for f in changefeed.FIELDS}
+    return _live(changefeed.current_state(table(spark, folder, "bronze_events"), aliases=own))
+
+
+def _live(state: DataFrame) -> DataFrame:
+    return state.filter("state = 'live'").drop("first_us", "state").withColumn("occurred_at", F.unix_micros("occurred_at"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_unified, p2_found, p2_counts, p3_found, p3_messages, p4_found, p4_history, p5_found, p5_report, p6_found, p6_plans, p7_found, p7_state)
+    for f in (p1_found, p1_unified, p2_found, p2_counts, p3_found, p3_messages, p4_found, p4_history, p5_found, p5_report, p6_found, p6_plans, p7_found, p7_state, p7_unified)
 }

@@ -50,6 +50,18 @@ def test_an_insert_replaces_what_is_older(table):
     assert rows_of(changefeed.current_state(feed), "channel") == [(None,)]
 
 
+def test_a_field_is_read_under_all_its_names(table):
+    new = lambda e, u, body: event(e, u, channel=None, payload=f'{{"op": "update", {body}}}')
+    feed = table(EVENTS, [
+        event("e_1", 1, channel="chat"), new("e_1", 2, '"via": "mail"'), event("e_2", 1, channel="chat"), new("e_2", 2, '"contact_channel": {"id": "phone"}'), event("e_3", 1, channel="chat"), new("e_3", 2, '"via": null'),
+        event("e_4", 1, channel='{"id":"chat"}', payload='{"op": "insert", "channel": {"id": "chat"}}'), new("e_5", 1, '"channel": null, "via": ["in_app"]'), event("e_6", 1, channel="chat"), new("e_6", 2, '"other": 1'),
+        event("e_7", 1, channel="chat", payload="{broken"), event("e_8", 1, o=None, channel="chat", payload='{"op": "insert", "when": "2026-03-01T00:05:00Z"}'), new("e_9", 1, '"wei\'rd {x}": "mail"'),
+    ])
+    state = changefeed.current_state(feed, aliases={"channel": ("contact_channel", "via", "wei'rd {x}"), "occurred_at": ("when",), "properties": ()})
+    assert rows_of(state, "event_id", "channel") == [("e_1", "mail"), ("e_2", "phone"), ("e_3", None), ("e_4", "chat"), ("e_5", "in_app"), ("e_6", "chat"), ("e_7", "chat"), ("e_8", "chat"), ("e_9", "mail")]
+    assert rows_of(state.filter("event_id = 'e_8'").select(F.unix_micros("occurred_at"))) == [(us(5),)]
+
+
 def test_feed_order_and_repeats_do_not_matter(table):
     rng = random.Random(5)
     rows = [event(f"e_{rng.randrange(8)}", rng.randrange(30), rng.choice(("insert", "update", "delete")), channel=rng.choice(("a", "b", None))) for _ in range(120)]
