@@ -14,7 +14,7 @@ from datetime import datetime, timezone
 from time import monotonic
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesmith.functions.canon import canonical_id
@@ -87,16 +87,24 @@ class Pipeline:
         return {"source": source, "since": since, "records_fetched": len(records), "written": written, "watermark": self.watermark(source)}
 
     def bronze(self, source: str, day: str) -> dict[str, Any]:
-        """Appends the raw files of a day that are not in bronze yet, one row per line."""
+        """Appends the raw files of a day that are not in bronze yet, one row per line; of files changed since, the lines that bronze lacks."""
         name, batch = f"bronze.{source}", str(uuid.uuid4())
         lines = rawlines.read_lines(self.spark, self.raw_root, source, day, batch, self._now())
-        known = self.store.read("control.loaded_files").filter(F.col("table_name") == name).select(F.col("source_file").alias("_source_file"))
-        fresh = lines.join(known, "_source_file", "left_anti")
+        known = self.store.read("control.loaded_files").filter(F.col("table_name") == name).select(F.col("source_file").alias("_source_file"), "version")
+        files = durable(rawlines.file_versions(self.spark, self.raw_root, source, day).join(known, ["_source_file", "version"], "left_anti"))
+        changed = files.join(known, "_source_file", "left_semi").select("_source_file")
+        # Equal lines of a file are told apart by number, so each comes as often as the file has it.
+        line = ["_source_file", "_raw_payload", "__n"]
+        number = F.row_number().over(Window.partitionBy(*line[:2]).orderBy("_source_file"))
+        held = self.store.read(name).join(changed, "_source_file", "left_semi").withColumn("__n", number).select(*line)
+        added = lines.join(changed, "_source_file", "left_semi").withColumn("__n", number).join(held, line, "left_anti").select(*lines.columns)
+        fresh = lines.join(files, "_source_file", "left_semi").join(known, "_source_file", "left_anti").unionByName(added)
         rows = durable((medallion.bronze_events if source == "events" else medallion.bronze_customers)(fresh))
         count = rows.count()
         if count:
             self.store.append(name, rows)
-            self.store.append("control.loaded_files", rows.select(F.lit(name).alias("table_name"), F.col("_source_file").alias("source_file"), F.lit("").alias("version")).distinct())
+        if not files.isEmpty():
+            self.store.append("control.loaded_files", files.select(F.lit(name).alias("table_name"), F.col("_source_file").alias("source_file"), "version"))
         return {"table": name, "ingestion_date": day, "batch_id": batch, "records_read": count, "records_written": count}
 
     def _unprocessed(self, source: str, stage: str) -> tuple[DataFrame, str | None]:

@@ -31,6 +31,15 @@ def read_lines(spark: SparkSession, root: str, source: str, day: str, batch_id:
     return lines.filter(not_blank(F.col("_raw_payload"))).withColumns({"_ingested_at": F.current_timestamp() if ingested_at is None else ingested_at, "_batch_id": F.lit(batch_id)})
 
 
+def file_versions(spark: SparkSession, root: str, source: str, day: str) -> DataFrame:
+    """(_source_file, version) of the day's files; the version is made of length and modification time. Contents are not read."""
+    pattern = f"{raw_path(root, source, day)}/*.json.gz"
+    if not has_files(spark, pattern):
+        return spark.createDataFrame([], "_source_file string, version string")
+    version = F.concat_ws("-", F.col("_metadata.file_size"), F.unix_micros("_metadata.file_modification_time"))
+    return spark.read.format("binaryFile").load(pattern).select(F.col("_metadata.file_path").alias("_source_file"), version.alias("version"))
+
+
 def write_lines(lines: DataFrame, root: str, source: str, day: str, files: int | None = None) -> bool:
     """Adds the lines (column `value`) that the day lacks; what is there is never rewritten. False if there was nothing to add.
 

@@ -1,5 +1,6 @@
 """Store, raw zone, paged source, pipeline and streaming end to end."""
 
+import gzip
 import json
 from datetime import datetime, timezone
 
@@ -219,6 +220,17 @@ def test_nothing_to_do_is_no_error(spark, tmp_path):
     assert p.store.read("silver.events").count() == 0
 
 
+def test_lines_added_to_a_loaded_file_reach_bronze(spark, tmp_path):
+    p = Pipeline(spark, Store(spark, str(tmp_path / "s")), str(tmp_path / "r"), reference=lambda: NOW)
+    folder = tmp_path / "r/raw/events/ingestion_date=2026-03-04"
+    folder.mkdir(parents=True)
+    lines = [json.dumps(raw_event(e)) for e in ("e_1", "e_1", "e_2", "e_3", "e_3")]
+    for upto, new in ((3, 3), (3, 0), (5, 2), (5, 0)):
+        (folder / "part-000.json.gz").write_bytes(gzip.compress("\n".join(lines[:upto]).encode(), mtime=0))
+        assert p.bronze("events", "2026-03-04")["records_written"] == new
+    assert rows_of(p.store.read("bronze.events"), "event_id") == [("e_1",), ("e_1",), ("e_2",), ("e_3",), ("e_3",)]
+
+
 def test_execution_date_precedence():
     assert execution_date("a", "b") == "a" and execution_date(None, "b") == "b" and execution_date(now=NOW) == "2026-03-05"
 
