@@ -44,6 +44,13 @@ def notification(results: Iterable[dict[str, Any]], run_id: str) -> dict[str, An
     return {"text": f"Run {run_id}: {len(bad)} checks did not pass" if bad else f"Run {run_id}: all checks passed", "blocks": [{"type": "section", "text": {"type": "mrkdwn", "text": line}} for line in lines]}
 
 
+def set_aside(store: Store, rows: DataFrame, key: str, table: str) -> DataFrame:
+    """Rows without key go to control.rejected_rows; the rest comes back."""
+    bad = rows.filter(canonical_id(key).isNull())
+    store.append("control.rejected_rows", bad.select(F.lit(table).alias("table_name"), F.lit(f"no {key}").alias("reason"), F.to_json(F.struct("*")).alias("row_json"), "_batch_id"))
+    return rows.filter(canonical_id(key).isNotNull())
+
+
 @dataclass
 class Pipeline:
     spark: SparkSession
@@ -116,9 +123,7 @@ class Pipeline:
 
     def _set_aside(self, rows: DataFrame, key: str, table: str) -> DataFrame:
         """Rows without key go to control.rejected_rows; the rest comes back."""
-        bad = rows.filter(canonical_id(key).isNull())
-        self.store.append("control.rejected_rows", bad.select(F.lit(table).alias("table_name"), F.lit(f"no {key}").alias("reason"), F.to_json(F.struct("*")).alias("row_json"), "_batch_id"))
-        return rows.filter(canonical_id(key).isNotNull())
+        return set_aside(self.store, rows, key, table)
 
     def silver_events(self, full: bool = False) -> dict[str, Any]:
         """The newest change of each event, merged where it is newer than what silver holds."""

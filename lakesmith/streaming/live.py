@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lakesmith.operators import counters, medallion, merge
 from lakesmith.operators.medallion import not_blank
+from lakesmith.plans.pipeline import set_aside
 from lakesmith.schemas import Table
 from lakesmith.store import Store
 
@@ -49,10 +50,13 @@ def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
 
 
 def silver_sink(store: Store) -> Callable[[DataFrame, int], None]:
-    """Merges each micro-batch of bronze events into silver, newer changes winning; late ones change nothing they should not."""
+    """Merges each micro-batch of bronze events into silver, newer changes winning; late ones change nothing they should not.
+
+    Rows without event_id go to control.rejected_rows; a micro-batch that failed after that sets them aside once more.
+    """
 
     def apply(rows: DataFrame) -> None:
-        incoming = medallion.normalized_events(medallion.latest(rows, "event_id"))
+        incoming = medallion.normalized_events(medallion.latest(set_aside(store, rows, "event_id", "bronze.events"), "event_id"))
         target = store.read("silver.events")
         store.replace("silver.events", merge.merge(target, incoming, ("event_id",), when=F.col("s.updated_at") > F.col("t.updated_at")), "stream")
 

@@ -251,3 +251,11 @@ def test_streams_end_where_the_batch_does(spark, tmp_path):
     query = windowed.writeStream.format("memory").queryName("windowed").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("windowed").agg(F.max("event_count")).first()[0] == 3
+
+
+def test_a_stream_sets_rows_without_key_aside(spark, tmp_path):
+    raw, store = str(tmp_path / "r"), Store(spark, str(tmp_path / "s"))
+    rawlines.write_lines(spark.createDataFrame([(json.dumps(raw_event(e)),) for e in ("e_1", None, "  ")], "value string"), raw, "events", "2026-03-04")
+    live.start(live.stream_raw(spark, raw, "events"), live.silver_sink(store), str(tmp_path / "c")).awaitTermination()
+    assert rows_of(store.read("silver.events"), "event_id") == [("e_1",)]
+    assert rows_of(store.read("control.rejected_rows"), "table_name", "reason") == [("bronze.events", "no event_id")] * 2
