@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from itertools import islice
 from time import monotonic
 from typing import Any
 
@@ -27,6 +28,9 @@ from lakesmith.store import Store
 EPOCH = "1970-01-01T00:00:00Z"
 SOURCES = ("events", "customers")
 
+#: Records that are fetched before they are written.
+INGEST_RECORDS = 50_000
+
 
 class QualityGateError(RuntimeError):
     """A critical check failed; the results are in the store."""
@@ -78,20 +82,22 @@ class Pipeline:
         self.store.replace("control.watermarks", merge.merge(table, new, ("source",)), "watermark")
 
     def ingest(self, source: str, fetch: Callable[[str], Iterable[dict[str, Any]]], day: str) -> dict[str, Any]:
-        """Fetches what changed since the watermark into the raw zone; the watermark moves only after the lines are written.
+        """Fetches what changed since the watermark into the raw zone; the watermark moves only after all lines are written.
+
+        At most INGEST_RECORDS are held at a time, if `fetch` gives them one by one.
 
         The bound is inclusive, so records at the watermark come again; the raw zone and silver keep each once.
         """
         since = self.watermark(source)
-        records = list(fetch(since))
-        written = False
-        if records:
-            lines = self.spark.createDataFrame([(json.dumps(r, sort_keys=True, ensure_ascii=False, separators=(",", ":")),) for r in records], "value string")
-            written = rawlines.write_lines(lines, self.raw_root, source, day)
-            newest = max([since, *(r["updated_at"] for r in records if isinstance(r.get("updated_at"), str))])
-            if newest != since:
-                self.set_watermark(source, newest)
-        return {"source": source, "since": since, "records_fetched": len(records), "written": written, "watermark": self.watermark(source)}
+        records, fetched, written, newest = iter(fetch(since)), 0, False, since
+        while some := list(islice(records, INGEST_RECORDS)):
+            lines = self.spark.createDataFrame([(json.dumps(r, sort_keys=True, ensure_ascii=False, separators=(",", ":")),) for r in some], "value string")
+            written = rawlines.write_lines(lines, self.raw_root, source, day) or written
+            newest = max([newest, *(r["updated_at"] for r in some if isinstance(r.get("updated_at"), str))])
+            fetched += len(some)
+        if newest != since:
+            self.set_watermark(source, newest)
+        return {"source": source, "since": since, "records_fetched": fetched, "written": written, "watermark": self.watermark(source)}
 
     def bronze(self, source: str, day: str) -> dict[str, Any]:
         """Appends the raw files of a day that are not in bronze yet, one row per line; of files changed since, the lines that bronze lacks."""

@@ -231,6 +231,27 @@ def test_lines_added_to_a_loaded_file_reach_bronze(spark, tmp_path):
     assert rows_of(p.store.read("bronze.events"), "event_id") == [("e_1",), ("e_1",), ("e_2",), ("e_3",), ("e_3",)]
 
 
+def test_ingest_holds_a_bounded_number_of_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lakesmith.plans.pipeline.INGEST_RECORDS", 2, raising=False)
+    p = Pipeline(spark, Store(spark, str(tmp_path / "s")), str(tmp_path / "r"), reference=lambda: NOW)
+    files = lambda: len(list((tmp_path / "r").rglob("*.json.gz")))
+    seen = []
+
+    def fetch(since, fails):
+        for n in (1, 3, 2, 2, 0):
+            seen.append(files() > 0)
+            yield raw_event(f"e_{n}", u=f"2026-03-04T0{n}:00:00Z")
+        if fails:
+            raise OSError
+
+    with pytest.raises(OSError):
+        p.ingest("events", lambda since: fetch(since, True), "2026-03-04")
+    assert seen == [False, False, True, True, True] and p.watermark("events") == "1970-01-01T00:00:00Z"
+    got = p.ingest("events", lambda since: fetch(since, False), "2026-03-04")
+    assert (got["records_fetched"], got["written"], got["watermark"]) == (5, True, "2026-03-04T03:00:00Z")
+    assert rawlines.read_lines(spark, p.raw_root, "events", "2026-03-04", "b").count() == 4
+
+
 def test_execution_date_precedence():
     assert execution_date("a", "b") == "a" and execution_date(None, "b") == "b" and execution_date(now=NOW) == "2026-03-05"
 
