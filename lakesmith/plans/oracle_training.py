@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lakesmith.operators.counters import CUT_OFF_US
+from lakesmith.operators.dedup import BLOCK_BITS
 from lakesmith.plans.oracle import _day, _id
 
 _DELETE = (
@@ -28,6 +29,7 @@ c AS (SELECT {_id("customer_id")} AS customer_id, plan, epoch_us(valid_from) AS
 newest AS (SELECT customer_id, arg_max(plan, f) AS plan FROM c GROUP BY ALL),
 numbered AS (SELECT *, row_number() OVER () AS i FROM e),
 known AS (SELECT i, any_value(n.event_id) AS event_id, any_value(n.customer_id) AS customer_id, any_value(o) AS o, arg_max(plan, f) AS plan, count(f) AS n FROM numbered n LEFT JOIN c ON c.customer_id = n.customer_id AND a <= o GROUP BY i)"""
+_BRONZE = ("event_id", "customer_id", "event_type", "occurred_at", "updated_at", "channel", "properties", "_raw_payload", "_source_file", "_ingested_at", "_batch_id")
 _FIELDS = ("customer_id", "event_type", "occurred_at", "channel", "properties")
 
 
@@ -46,6 +48,14 @@ SQL: dict[str, str] = {
       SELECT CAST(event_date AS VARCHAR) AS event_date, customer_id, event_type FROM counts c FULL JOIN gold g USING (event_date, customer_id, event_type) WHERE coalesce(c.event_count, 0) <> coalesce(g.n, 0)""",
     "p2_counts": f"WITH {_FEED}, {_COUNTS} SELECT * FROM counts",
     "p3_found": f"WITH {_FEED} SELECT event_id, us AS updated_us FROM feed WHERE event_id IS NOT NULL AND us IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
+    "p3_messages": f"""WITH told AS (SELECT *, {_id("event_id")} AS k FROM bronze_events),
+      once AS (SELECT *, row_number() OVER (PARTITION BY k, updated_at ORDER BY _ingested_at NULLS LAST, coalesce(_batch_id, ''), {", ".join(f"{c} NULLS FIRST" for c in _BRONZE)}) AS n FROM told)
+      SELECT event_id, customer_id, event_type, epoch_us(occurred_at) AS occurred_at_us, epoch_us(updated_at) AS updated_at_us, channel, properties, _raw_payload, _source_file, epoch_us(_ingested_at) AS ingested_at_us, _batch_id
+      FROM once WHERE n = 1 OR k IS NULL OR updated_at IS NULL""",
+    "p3_ranges": f"""WITH numbers AS (SELECT DISTINCT split_part({_id("event_id")}, '_', 1) AS producer, CAST(split_part({_id("event_id")}, '_', 2) AS BIGINT) AS n FROM bronze_events
+        WHERE regexp_full_match({_id("event_id")}, '[a-z]+_[0-9]{{1,18}}') AND updated_at IS NOT NULL),
+      placed AS (SELECT producer, n // {1 << BLOCK_BITS} AS block, n, n - row_number() OVER (PARTITION BY producer, n // {1 << BLOCK_BITS} ORDER BY n) AS island FROM numbers)
+      SELECT producer, block, min(n) AS lo, max(n) AS hi FROM placed GROUP BY producer, block, island""",
     "p4_found": f"WITH {_VERSIONS} SELECT customer_id, valid_from_us, coalesce(valid_to_us, 0) AS valid_to_us FROM versions WHERE versions > 1",
     "p4_history": f"WITH {_VERSIONS} SELECT customer_id, plan, segment, is_active, country, valid_from_us, valid_to_us, valid_to_us IS NULL AS is_current FROM versions",
     "p5_found": f"WITH {_ORPHANS} SELECT event_id, reason FROM found WHERE reason IS NOT NULL",

@@ -76,7 +76,7 @@ def test_empty_tables_give_empty_results(table):
     lines = table("customer_id string, plan string, segment string, country string, is_active boolean, updated_at timestamp, _ingested_at timestamp", [])
     gold = table("event_date date, customer_id string, event_type string, event_count bigint", [])
     for df in (
-        changefeed.current_state(nothing), counters.right_counts(nothing), counters.corrections(gold, counters.right_counts(nothing)), dedup.single_copies(nothing), dedup.repeated(dedup.resolve(nothing)), history.history(lines),
+        changefeed.current_state(nothing), counters.right_counts(nothing), counters.corrections(gold, counters.right_counts(nothing)), dedup.single_copies(nothing, dedup.accepted(dedup.resolve(nothing))), dedup.repeated(dedup.resolve(nothing)), dedup.resolve(nothing).ranges, history.history(lines),
         orphans.orphans(nothing, versions), knowntime.as_known(nothing, versions), drift.field_changes(drift.field_statistics(nothing)), drift.unify(nothing, [("event_id", "string")], {}),
     ):
         assert df.count() == 0
@@ -128,28 +128,73 @@ def test_each_message_once_within_and_across_batches(table):
     ])
     resolved = dedup.resolve(rows)
     assert rows_of(dedup.repeated(resolved)) == [("e_00000001", us(1)), ("odd id", us(1))]
-    kept = dedup.single_copies(rows)
+    kept = dedup.single_copies(rows, dedup.accepted(resolved))
     assert kept.columns == rows.columns and kept.count() == 8
     assert rows_of(kept.filter(F.col("event_id").contains("1") & F.col("channel").eqNullSafe("first")), "_batch_id") == [("b1",)]
-    assert {r["by_range"] for r in resolved.filter("producer is null").collect()} == {False}
+    # Only the first message of each number is settled by the ranges; the malformed identifier goes to the lookup.
+    assert rows_of(resolved.lines.filter("by_range"), "id", "us") == [("e_00000001", us(1)), ("e_00000002", us(1))]
+    assert rows_of(dedup.lookup(resolved), "id", "us", "copies") == [("e_00000001", us(2), 1), ("odd id", us(1), 2)]
 
 
 def test_ranges_are_disjoint_and_later_batches_meet_them(table, spark):
     first = table(EVENTS, [event(f"e_{n:08d}", 1) for n in (1, 2, 3, 7, 8, 70000)] + [event("x-1", 1)])
     resolved = dedup.resolve(first)
-    seen = dedup.advance(resolved)
+    seen = dedup.advance(resolved, dedup.accepted(resolved))
     assert rows_of(seen.ranges, "producer", "lo", "hi") == [("e", 1, 3), ("e", 7, 8), ("e", 70000, 70000)]
     # 2 is a repeat, 3 a later version, 4 and 5 fill the gap, x-1 repeats a malformed identifier.
-    second = dedup.resolve(table(EVENTS, [event("e_00000002", 1, batch="n"), event("e_00000003", 2, batch="n"), event("e_00000004", 1, batch="n"), event("e_00000005", 1, batch="n"), event("x-1", 1, batch="n"), event("x-2", 1, batch="n")]), seen=seen)
-    assert rows_of(second, "id", "by_range", "accepted") == [("e_00000002", False, False), ("e_00000003", False, True), ("e_00000004", True, True), ("e_00000005", True, True), ("x-1", False, False), ("x-2", False, True)]
-    after = dedup.advance(second, seen)
+    rows = table(EVENTS, [event(i, v, batch="n") for i, v in (("e_00000002", 1), ("e_00000003", 2), ("e_00000004", 1), ("e_00000005", 1), ("x-1", 1), ("x-2", 1))])
+    second = dedup.resolve(rows, seen=seen)
+    assert rows_of(second.lines, "id", "by_range") == [("e_00000002", False), ("e_00000003", False), ("e_00000004", True), ("e_00000005", True), ("x-1", False), ("x-2", False)]
+    kept = dedup.accepted(second)
+    assert rows_of(kept, "id") == [("e_00000003",), ("e_00000004",), ("e_00000005",), ("x-2",)]
+    assert rows_of(dedup.repeated(second), "id") == [("e_00000002",), ("x-1",)] and dedup.single_copies(rows, kept).count() == 4
+    after = dedup.advance(second, kept)
     assert rows_of(after.ranges, "producer", "lo", "hi") == [("e", 1, 5), ("e", 7, 8), ("e", 70000, 70000)]
     assert after.messages.count() == 7 + 4
 
 
+def test_ranges_equal_a_set_of_numbers():
+    import numpy as np
+
+    rng = random.Random(8)
+    for spread in (50, 3000, 10**9):
+        ranges, known = dedup.Ranges(), set()
+        for _ in range(4):
+            numbers = [rng.randrange(spread) for _ in range(6000)]
+            wanted = []
+            for i, n in enumerate(numbers):
+                if n not in known:
+                    known.add(n)
+                    wanted.append(i)
+            assert ranges.take(np.array(numbers, dtype=np.int64)).tolist() == wanted
+        assert sorted(known) == [n for lo, hi in zip(ranges.lo, ranges.hi, strict=True) for n in range(lo, hi + 1)]
+        assert (ranges.lo[1:] > ranges.hi[:-1] + 1).all()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_messages_equal_brute_force_however_they_are_batched(table, batches, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_BITS", 3)
+    monkeypatch.setattr(dedup, "STEP", 4)
+    rng = random.Random(batches)
+    ids = [f"e_{n:08d}" for n in range(20)] + [f"z_{n}" for n in range(5)] + ["odd", "e_x"]
+    rows = [event(rng.choice(ids), rng.choice((1, 1, 2)), ingested=i // 10, batch=f"b{i // 10}") for i in range(100)]
+    rows += [event("e_00000007", 3 + i, ingested=4, batch="b4") for i in range(40)]  # one number in very many versions
+    seen, kept, repeats = None, [], set()
+    for b in range(batches):
+        own = [r for r in rows if int(r[-1][1:]) % batches == b] if batches > 1 else rows
+        resolved = dedup.resolve(table(EVENTS, own), seen=seen)
+        taken = dedup.accepted(resolved)
+        kept += rows_of(taken, "id", "us")
+        repeats |= set(rows_of(dedup.repeated(resolved)))
+        seen = dedup.advance(resolved, taken)
+        seen = dedup.Seen(*(df.sparkSession.createDataFrame(df.collect(), df.schema) for df in (seen.ranges, seen.messages)))
+    messages = [(r[0], us(int((datetime.fromisoformat(r[4]).replace(tzinfo=timezone.utc) - BASE).total_seconds() // 60))) for r in rows]
+    assert sorted(kept) == sorted(set(messages)) and repeats == {m for m in messages if messages.count(m) > 1}
+
+
 def test_dedup_keeps_clashing_and_map_columns(spark, table):
-    rows = table(EVENTS, [event("e_1", 1), event("e_1", 1)]).withColumns({"seq": F.lit("s"), "id": F.lit(1), "row": F.create_map(F.lit("a"), F.lit(1)), "batch": F.lit(None).cast("string"), "copies": F.lit(0)})
-    kept = dedup.single_copies(rows)
+    rows = table(EVENTS, [event("e_1", 1), event("e_1", 1)]).withColumns({"seq": F.lit("s"), "id": F.lit(1), "row": F.create_map(F.lit("a"), F.lit(1)), "batch": F.lit(None).cast("string"), "copies": F.lit(0), "__order": F.lit(1)})
+    kept = dedup.single_copies(rows, dedup.accepted(dedup.resolve(rows)))
     assert kept.columns == rows.columns and kept.count() == 1 and kept.first()["row"] == {"a": 1}
 
 
