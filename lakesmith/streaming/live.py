@@ -14,8 +14,9 @@ from lakesmith.plans.pipeline import set_aside
 from lakesmith.schemas import Table
 from lakesmith.store import Store
 
-#: The state of the late-event counters: one row per event.
-CELLS = Table("event_id string, first_us bigint, last bigint, version bigint, occurred_us bigint, customer_id string, event_type string", ("event_id",))
+#: The state of the late-event counters: cells of the events by micro-batch, and what the sources emitted.
+CELLS = Table("event_id string, sequence bigint, first_us bigint, last bigint, occurred_us bigint, customer_id string, event_type string", ("event_id",))
+EMISSIONS = Table("event_date date, customer_id string, event_type string, source int, sequence bigint, n bigint", (*counters.KEY, "source", "sequence"))
 #: The last micro-batch that a table holds, so that a repeated one is skipped.
 APPLIED = Table("query string, batch bigint", ("query",))
 
@@ -28,7 +29,7 @@ def stream_raw(spark: SparkSession, raw_root: str, source: str) -> DataFrame:
     return (medallion.bronze_events if source == "events" else medallion.bronze_customers)(rows)
 
 
-def once_per_batch(store: Store, name: str, apply: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+def once_per_batch(store: Store, name: str, apply: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that skips a micro-batch that was applied before a restart."""
     store.create("control.applied", APPLIED)
 
@@ -37,7 +38,7 @@ def once_per_batch(store: Store, name: str, apply: Callable[[DataFrame], None])
         done = applied.filter(F.col("query") == name).first()
         if done is not None and done["batch"] >= batch:
             return
-        apply(rows)
+        apply(rows, batch)
         mark = rows.sparkSession.createDataFrame([(name, batch)], APPLIED.schema)
         store.replace("control.applied", merge.merge(applied, mark, ("query",)), "mark")
 
@@ -55,7 +56,7 @@ def silver_sink(store: Store) -> Callable[[DataFrame, int], None]:
     Rows without event_id go to control.rejected_rows; a micro-batch that failed after that sets them aside once more.
     """
 
-    def apply(rows: DataFrame) -> None:
+    def apply(rows: DataFrame, batch: int) -> None:
         incoming = medallion.normalized_events(medallion.latest(set_aside(store, rows, "event_id", "bronze.events"), "event_id"))
         target = store.read("silver.events")
         store.replace("silver.events", merge.merge(target, incoming, ("event_id",), when=F.col("s.updated_at") > F.col("t.updated_at")), "stream")
@@ -63,20 +64,26 @@ def silver_sink(store: Store) -> Callable[[DataFrame, int], None]:
     return once_per_batch(store, "silver.events", apply)
 
 
-def counter_sink(store: Store) -> Callable[[DataFrame, int], None]:
-    """Joins each micro-batch into the event cells. Cells merge by maxima, so even a repeated batch would change nothing."""
+def counter_sink(store: Store, cut_off_us: int = counters.CUT_OFF_US) -> Callable[[DataFrame, int], None]:
+    """Adds each micro-batch's cells and the emissions that follow from them to the state, which is never rewritten.
+
+    The emissions are written first. A micro-batch that failed in between finds the same cells as before and emits the
+    same once more, which merging by the greatest sequence undoes.
+    """
     store.create("state.event_cells", CELLS)
+    store.create("state.event_counters", EMISSIONS)
 
-    def apply(rows: DataFrame) -> None:
-        cells = store.read("state.event_cells").unionByName(counters.event_cells(rows))
-        store.replace("state.event_cells", counters.merge_cells(cells).select(*CELLS.schema.fieldNames()), "merge")
+    def apply(rows: DataFrame, batch: int) -> None:
+        cells, emitted = counters.advance(store.read("state.event_cells"), store.read("state.event_counters"), rows, batch + 1, cut_off_us)
+        store.append("state.event_counters", emitted)
+        store.append("state.event_cells", cells)
 
     return once_per_batch(store, "state.event_cells", apply)
 
 
-def live_counts(store: Store, cut_off_us: int = counters.CUT_OFF_US) -> DataFrame:
+def live_counts(store: Store) -> DataFrame:
     """The counts as the stream knows them now."""
-    return counters.totals(counters.counters(store.read("state.event_cells"), cut_off_us)).filter("event_count > 0")
+    return counters.totals(counters.merge_counters(store.read("state.event_counters"))).filter("event_count > 0")
 
 
 def windowed_counts(stream: DataFrame, delay: str = "72 hours") -> DataFrame:
