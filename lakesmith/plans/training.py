@@ -64,13 +64,13 @@ def p3_ranges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = history.history(table(spark, folder, "bronze_customers")).filter("versions >= 2")
+    rows = history.history(table(spark, folder, "bronze_customers"), keep=durable).filter("versions >= 2")
     return rows.select(F.col("id").alias("customer_id"), "valid_from_us", F.coalesce("valid_to_us", F.lit(0)).alias("valid_to_us"))
 
 
 def p4_history(spark: SparkSession, folder: str) -> DataFrame:
     """The complete history of every customer."""
-    rows = history.history(table(spark, folder, "bronze_customers"))
+    rows = history.history(table(spark, folder, "bronze_customers"), keep=durable)
     return rows.select(F.col("id").alias("customer_id"), *history.TRACKED, "valid_from_us", "valid_to_us", "is_current")
 
 
