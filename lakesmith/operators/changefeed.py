@@ -1,9 +1,10 @@
 """Current state from a feed of inserts, updates and deletes (column-wise last writer wins, SQL only).
 
 One aggregation per key, combined on the map side, rebuilds the state: for every field the change with the greatest
-sequence that set it is kept as (sequence, value), together with the greatest delete and the greatest replacement. A
-field's value counts only when its sequence lies after the latest delete and not before the latest replacement, so no
-change has to be joined back to its key and no group is ever gathered in memory.
+sequence that set it is kept as (sequence, value), together with the greatest delete and the greatest replacement. Whether
+the record is gone is a field that every change sets. A field's value counts only when its sequence lies after the latest
+delete and not before the latest replacement, so no change has to be joined back to its key and no group is ever gathered
+in memory. The record's last change is the greatest of its winners.
 """
 
 from __future__ import annotations
@@ -69,15 +70,15 @@ def current_state_sql(fields: tuple[str, ...] = FIELDS, key: str = "event_id", s
     return f"""
     WITH feed AS ({_feed_sql(fields, key, sequence, payload, aliases or {}, types or {})}),
     folded AS (
-      SELECT k, min(seq) AS first_us, max(2 * seq + int(gone)) AS last, -- both in one long keeps the aggregate on hashes
+      SELECT k, min(seq) AS first_us, max(2 * seq + int(gone)) AS w_gone, -- sequence and value in one long
              max(seq) FILTER (WHERE gone) AS gone_us,
              max(seq) FILTER (WHERE fresh) AS fresh_us,
              {", ".join(f"max(struct(seq, f_{f} AS value)) FILTER (WHERE sets_{f} AND NOT gone) AS w_{f}" for f in fields)}
       FROM feed WHERE k IS NOT NULL AND seq IS NOT NULL
       GROUP BY k
     )
-    SELECT k AS {key}, first_us, shiftright(last, 1) AS updated_us, if(last & 1 = 1, 'deleted', 'live') AS state,
-           {", ".join(f"CASE WHEN last & 1 = 0 AND w_{f}.seq > coalesce(gone_us, w_{f}.seq - 1) AND w_{f}.seq >= coalesce(fresh_us, w_{f}.seq) THEN w_{f}.value END AS {f}" for f in fields)}
+    SELECT k AS {key}, first_us, greatest(shiftright(w_gone, 1), {", ".join(f"w_{f}.seq" for f in fields)}) AS updated_us, if(w_gone & 1 = 1, 'deleted', 'live') AS state,
+           {", ".join(f"CASE WHEN w_gone & 1 = 0 AND w_{f}.seq > coalesce(gone_us, w_{f}.seq - 1) AND w_{f}.seq >= coalesce(fresh_us, w_{f}.seq) THEN w_{f}.value END AS {f}" for f in fields)}
     FROM folded
     """
 
