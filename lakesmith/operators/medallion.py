@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesmith.functions.canon import canonical_id
-from lakesmith.functions.payload import json_type
+from lakesmith.functions.payload import is_delete, json_type, markers
 
 #: The event types and plans of the domain, and those event types that belong to a ticket.
 EVENT_TYPES = ("ticket_opened", "ticket_replied", "ticket_closed", "login", "feature_used", "export_generated", "report_viewed", "subscription_changed")
@@ -76,6 +76,15 @@ def latest(rows: DataFrame, key: str, order: tuple[str, ...] = ("updated_at", "_
     return rows.withColumn(key, k).filter(F.col(key).isNotNull()).groupBy(key).agg(best).select(*(F.col(key) if c == key else F.col(f"__best.`{c}`") for c in rows.columns))
 
 
+def newest_changes(bronze: DataFrame) -> DataFrame:
+    """The newest change of every event as bronze columns without the payload, and whether it deletes (`gone`).
+
+    The payload is read for its marker before the shuffle and stays behind. Rows without event_id are dropped here.
+    """
+    own = ("event_id", "customer_id", "event_type", "occurred_at", "updated_at", "channel", "properties", "_ingested_at", "_batch_id")
+    return latest(bronze.select(*own, is_delete(markers(F.col("_raw_payload"))).alias("gone")), "event_id")
+
+
 def versions_of(rows: DataFrame, key: str, value: str) -> DataFrame:
     """All stored versions of one record, oldest first; an unknown key gives no rows. The identifier may be in any spelling."""
     return rows.filter(canonical_id(key) == canonical_id(F.lit(value))).orderBy("updated_at", "_ingested_at")
@@ -95,11 +104,11 @@ def valid_json(text: Column) -> Column:
     return text.isNull() | F.get_json_object(text, "$").isNotNull()
 
 
-def normalized_events(bronze: DataFrame, loaded_at: Column | None = None) -> DataFrame:
-    """Bronze events (one per key already) in the columns of silver. Events without or with unknown customers are kept."""
+def normalized_events(bronze: DataFrame, loaded_at: Column | None = None, *more: str) -> DataFrame:
+    """Bronze events (one per key already) in the columns of silver, and some more. Events without or with unknown customers are kept."""
     return bronze.select(
         "event_id", "customer_id", F.col("customer_id").isNotNull().alias("has_customer_id"), F.lower("event_type").alias("event_type"), "occurred_at", "updated_at", "channel", "properties",
-        valid_json(F.col("properties")).alias("properties_valid_json"), (F.current_timestamp() if loaded_at is None else loaded_at).alias("_silver_loaded_at"),
+        valid_json(F.col("properties")).alias("properties_valid_json"), (F.current_timestamp() if loaded_at is None else loaded_at).alias("_silver_loaded_at"), *more,
     )
 
 

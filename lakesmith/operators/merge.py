@@ -28,13 +28,14 @@ def require_unique(rows: DataFrame, on: tuple[str, ...]) -> DataFrame:
 
 
 def merge(
-    target: DataFrame, source: DataFrame, on: tuple[str, ...], *, when: Column | None = None, update: bool = True, insert: bool = True, delete_unmatched: bool = False, set_columns: dict[str, Column] | None = None,
+    target: DataFrame, source: DataFrame, on: tuple[str, ...], *, when: Column | None = None, update: bool = True, insert: bool = True, delete_unmatched: bool = False, set_columns: dict[str, Column] | None = None, remove: Column | None = None,
 ) -> DataFrame:
     """The target after `source` is merged into it, in the target's columns.
 
     * Keys are equal null-safe, so a NULL key matches itself and a second run of the same merge changes nothing.
     * Matched rows are replaced by the source row (only the columns of `set_columns`, if given) where `when` is true;
       false and NULL keep the target row. In `when` and `set_columns`, columns are named `t.x` and `s.x`.
+    * Source rows for which `remove` is true (in columns `s.x`) delete the row that they would replace and insert nothing.
     * Unmatched source rows are inserted unless insert is false; unmatched target rows stay unless delete_unmatched.
     * Columns are matched by name; one that the source lacks is NULL on insert and kept on update.
     """
@@ -50,6 +51,8 @@ def merge(
         joined = joined.filter("__in_t is not null")
     replaced = both & F.coalesce(F.lit(True) if when is None else when, F.lit(False)) & F.lit(update)
     inserted = F.col("__in_t").isNull()
+    if remove is not None:
+        joined = joined.filter(~(F.coalesce(remove, F.lit(False)) & (inserted | replaced)))
 
     def value(c: str) -> Column:
         old = F.col(f"t.`{c}`")

@@ -18,12 +18,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesmith.functions.canon import canonical_id
 from lakesmith.logs import log
 from lakesmith.operators import medallion, merge, quality, scd2
+from lakesmith.plans import incremental
 from lakesmith.plans.durable import durable
 from lakesmith.sources import rawlines
-from lakesmith.store import Store
+from lakesmith.store import Store, label
 
 EPOCH = "1970-01-01T00:00:00Z"
 SOURCES = ("events", "customers")
@@ -48,13 +48,6 @@ def notification(results: Iterable[dict[str, Any]], run_id: str) -> dict[str, An
     return {"text": f"Run {run_id}: {len(bad)} checks did not pass" if bad else f"Run {run_id}: all checks passed", "blocks": [{"type": "section", "text": {"type": "mrkdwn", "text": line}} for line in lines]}
 
 
-def set_aside(store: Store, rows: DataFrame, key: str, table: str) -> DataFrame:
-    """Rows without key go to control.rejected_rows; the rest comes back."""
-    bad = rows.filter(canonical_id(key).isNull())
-    store.append("control.rejected_rows", bad.select(F.lit(table).alias("table_name"), F.lit(f"no {key}").alias("reason"), F.to_json(F.struct("*")).alias("row_json"), "_batch_id"))
-    return rows.filter(canonical_id(key).isNotNull())
-
-
 @dataclass
 class Pipeline:
     spark: SparkSession
@@ -77,9 +70,10 @@ class Pipeline:
         return row["watermark"] if row else default
 
     def set_watermark(self, source: str, value: str) -> None:
+        base = self.store.newest("control.watermarks").number
         table = self.store.read("control.watermarks")
         new = self.spark.createDataFrame([(source, value)], table.schema)
-        self.store.replace("control.watermarks", merge.merge(table, new, ("source",)), "watermark")
+        self.store.replace("control.watermarks", merge.merge(table, new, ("source",)), "watermark", base)
 
     def ingest(self, source: str, fetch: Callable[[str], Iterable[dict[str, Any]]], day: str) -> dict[str, Any]:
         """Fetches what changed since the watermark into the raw zone; the watermark moves only after all lines are written.
@@ -102,8 +96,9 @@ class Pipeline:
     def bronze(self, source: str, day: str) -> dict[str, Any]:
         """Appends the raw files of a day that are not in bronze yet, one row per line; of files changed since, the lines that bronze lacks."""
         name, batch = f"bronze.{source}", str(uuid.uuid4())
+        base = self.store.newest(name).number
         lines = rawlines.read_lines(self.spark, self.raw_root, source, day, batch, self._now())
-        known = self.store.read("control.loaded_files").filter(F.col("table_name") == name).select(F.col("source_file").alias("_source_file"), "version")
+        known = self.store.side(name, "loaded_files").select(F.col("source_file").alias("_source_file"), "version")
         files = durable(rawlines.file_versions(self.spark, self.raw_root, source, day).join(known, ["_source_file", "version"], "left_anti"))
         changed = files.join(known, "_source_file", "left_semi").select("_source_file")
         # Equal lines of a file are told apart by number, so each comes as often as the file has it.
@@ -114,52 +109,44 @@ class Pipeline:
         fresh = lines.join(files, "_source_file", "left_semi").join(known, "_source_file", "left_anti").unionByName(added)
         rows = durable((medallion.bronze_events if source == "events" else medallion.bronze_customers)(fresh))
         count = rows.count()
-        if count:
-            self.store.append(name, rows)
         if not files.isEmpty():
-            self.store.append("control.loaded_files", files.select(F.lit(name).alias("table_name"), F.col("_source_file").alias("source_file"), "version"))
+            # Rows and the files that they came from are one commit, and a run that another one overtook fails.
+            loaded = files.select(F.col("_source_file").alias("source_file"), "version")
+            self.store.write(name, "append", rows if count else None, base=base, sides={"loaded_files": loaded})
         return {"table": name, "ingestion_date": day, "batch_id": batch, "records_read": count, "records_written": count}
 
-    def _unprocessed(self, source: str, stage: str) -> tuple[DataFrame, str | None]:
-        """The bronze rows appended since the stage last ran, and the version that it will then have seen; None if there is nothing new."""
-        name, seen = f"bronze.{source}", self.watermark(stage, "")
+    def _unprocessed(self, source: str, target: str) -> tuple[DataFrame, str | None]:
+        """The bronze rows appended since the target was last brought up to date, and the version that it will then have seen; None if there is nothing new."""
+        name, seen = f"bronze.{source}", self.store.note(target, "bronze")
         newest = self.store.current(name)
-        fresh = self.store.added(name, int(seen) if seen else None)
-        return fresh, None if newest is None or str(newest) == seen else str(newest)
-
-    def _set_aside(self, rows: DataFrame, key: str, table: str) -> DataFrame:
-        """Rows without key go to control.rejected_rows; the rest comes back."""
-        return set_aside(self.store, rows, key, table)
+        if newest is None or str(newest) == seen:
+            return self.store.read(name), None
+        return self.store.added(name, int(seen) if seen else None), str(newest)
 
     def silver_events(self, full: bool = False) -> dict[str, Any]:
-        """The newest change of each event, merged where it is newer than what silver holds."""
-        fresh, seen = (self.store.read("bronze.events"), None) if full else self._unprocessed("events", "silver.events")
-        if not full and seen is None:
-            return {"table": "silver.events", "merged": False}
-        keyed = fresh.filter(canonical_id("event_id").isNotNull()) if full else self._set_aside(fresh, "event_id", "bronze.events")
-        incoming = medallion.normalized_events(medallion.latest(keyed, "event_id"), self._now())
-        target = self.store.read("silver.events")
-        self.store.replace("silver.events", merge.merge(target, incoming, ("event_id",), when=F.col("s.updated_at") > F.col("t.updated_at")), "merge")
+        """The newest change of each event, merged where it is newer than what silver holds; deletes remove their event."""
+        name = "silver.events"
+        if full:
+            incremental.merge_events(self.store, self.store.read("bronze.events"), self._now(), {}, "merge", aside=False)
+            return {"table": name, "merged": True, "rows": self.store.read(name).count()}
+        fresh, seen = self._unprocessed("events", name)
         if seen is not None:
-            self.set_watermark("silver.events", seen)
-        return {"table": "silver.events", "merged": True}
+            incremental.merge_events(self.store, fresh, self._now(), {"bronze": seen})
+        return {"table": name, "merged": seen is not None, "rows": self.store.read(name).count()}
 
     def silver_customers(self) -> dict[str, Any]:
-        fresh, seen = self._unprocessed("customers", "silver.customers")
-        if seen is None:
-            return {"table": "silver.customers", "merged": False}
-        incoming = medallion.latest(self._set_aside(fresh, "customer_id", "bronze.customers").drop("_raw_payload", "_source_file"), "customer_id")
-        self.store.replace("silver.customers", scd2.apply_latest(self.store.read("silver.customers"), incoming, loaded_at=self._now()), "scd2")
-        self.set_watermark("silver.customers", seen)
-        return {"table": "silver.customers", "merged": True}
+        name = "silver.customers"
+        fresh, seen = self._unprocessed("customers", name)
+        if seen is not None:
+            incremental.merge_customers(self.store, fresh, lambda dimension, incoming: scd2.apply_latest(dimension, incoming, loaded_at=self._now()), {"bronze": seen})
+        return {"table": name, "merged": seen is not None, "rows": self.store.read(name).count()}
 
     def quality(self) -> list[dict[str, Any]]:
         """Runs the seven checks, keeps their results, and raises if a critical one failed. The results are kept first."""
         began = monotonic()
         events, customers = self.store.read("silver.events"), self.store.read("silver.customers")
         volumes = quality.volume_history(events, "silver.events", "occurred_at").withColumn("recorded_at", self._now())
-        kept = merge.merge(self.store.read("quality.volume_history"), volumes, ("table_name", "metric_date"), delete_unmatched=True)
-        self.store.replace("quality.volume_history", kept, "merge")
+        incremental.merge_into(self.store, "quality.volume_history", volumes, ("table_name", "metric_date"), delete_unmatched=True)
         report = quality.report(events, customers, self._now(), self.store.read("quality.volume_history"))
         results = [r.asDict() for r in report.collect()]
         took = monotonic() - began
@@ -178,18 +165,30 @@ class Pipeline:
             return {"sample": [r["event_id"] for r in quality.samples(events, ("event_id",)).collect()]}
         return {}
 
-    def gold(self, rebuild: bool = False) -> list[str]:
-        """The three gold tables, recomputed from silver and merged by key; `rebuild` also removes keys that silver no longer gives."""
-        events, customers = self.store.read("silver.events"), self.store.read("silver.customers")
-        made = {
-            "gold.events_daily_summary": medallion.daily_summary(events).withColumn("updated_at", self._now()),
-            "gold.ticket_events": medallion.ticket_events(events),
-            "gold.customer_monthly_activity": medallion.monthly_activity(events, customers),
-        }
-        for name, rows in made.items():
-            key = self.store.definition(name).key
-            self.store.replace(name, merge.merge(self.store.read(name), rows, key, delete_unmatched=rebuild), "merge")
-        return list(made)
+    def gold(self, rebuild: bool = False) -> list[dict[str, Any]]:
+        """The three gold tables for the months of silver that changed since they were last made; `rebuild` makes all months anew.
+
+        A month is made whole, so keys that silver no longer gives go with it. The signup months of a changed customer may
+        concern any month of the activity, which is then made anew as well.
+        """
+        store, events, customers = self.store, "silver.events", "silver.customers"
+        seen = {t: str(store.newest(t).number) for t in (events, customers)}
+        out = []
+        for name in ("gold.events_daily_summary", "gold.ticket_events", "gold.customer_monthly_activity"):
+            since = store.note(name, events)
+            whole = rebuild or not since or (name == "gold.customer_monthly_activity" and store.note(name, customers) != seen[customers])
+            months = store.changed_partitions(events, int(since) if since and int(since) >= 0 else None)
+            if whole:
+                months = {label(p) for t in (events, name) for p in store.newest(t).parts}
+            rows = store.read(events, partitions=months)
+            made = {
+                "gold.events_daily_summary": lambda rows: medallion.daily_summary(rows).withColumn("updated_at", self._now()), "gold.ticket_events": medallion.ticket_events,
+                "gold.customer_monthly_activity": lambda rows: medallion.monthly_activity(rows, store.read(customers)),
+            }[name](rows)
+            if months or not since:
+                incremental.merge_into(store, name, made, store.definition(name).key, delete_unmatched=True, touched=months, notes=seen)
+            out.append({"table": name, "months": len(months), "rows": store.read(name).count()})
+        return out
 
     def run(self, day: str, fetch: dict[str, Callable[[str], Iterable[dict[str, Any]]]] | None = None, only: tuple[str, ...] = SOURCES, rebuild: bool = False) -> dict[str, Any]:
         """All stages in order. A failed gate stops gold. `only` limits ingestion, bronze and silver to some sources."""
@@ -214,5 +213,6 @@ class Pipeline:
             if took > self.sla_seconds:
                 log("stage_late", logging.WARNING, stage=name, duration_seconds=round(took, 3), sla_seconds=self.sla_seconds)
                 self.on_late(name, took)
+        summary["records_fetched"] = sum(summary[f"ingest.{s}"]["records_fetched"] for s in only if f"ingest.{s}" in summary)
         self.on_success(summary)
         return summary

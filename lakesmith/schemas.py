@@ -38,6 +38,11 @@ TABLES = {
         "check_id string, check_name string, check_description string, severity string, status string, layer string, table_name string, records_checked bigint, records_failed bigint, failure_rate double, details string, executed_at timestamp, pipeline_run_id string, duration_seconds double",
         ("check_id",), "day:executed_at"),
     "control.watermarks": Table("source string, watermark string", ("source",), None),
-    "control.loaded_files": Table("table_name string, source_file string, version string", ("table_name", "source_file", "version"), None),
-    "control.rejected_rows": Table("table_name string, reason string, row_json string, _batch_id string", (), None),
 }
+
+#: Tables that belong to another table and change with it in one commit.
+SIDES = {
+    "loaded_files": "source_file string, version string",
+    "deleted_keys": "event_id string, deleted_at timestamp",
+    "rejected_rows": "table_name string, reason string, row_json string, _batch_id string",
+}

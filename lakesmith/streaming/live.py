@@ -8,17 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lakesmith.operators import counters, medallion, merge
+from lakesmith.operators import counters, medallion
 from lakesmith.operators.medallion import not_blank
-from lakesmith.plans.pipeline import set_aside
+from lakesmith.plans import incremental
 from lakesmith.schemas import Table
 from lakesmith.store import Store
 
 #: The state of the late-event counters: cells of the events by micro-batch, and what the sources emitted.
 CELLS = Table("event_id string, sequence bigint, first_us bigint, last bigint, occurred_us bigint, customer_id string, event_type string", ("event_id",))
 EMISSIONS = Table("event_date date, customer_id string, event_type string, source int, sequence bigint, n bigint", (*counters.KEY, "source", "sequence"))
-#: The last micro-batch that a table holds, so that a repeated one is skipped.
-APPLIED = Table("query string, batch bigint", ("query",))
 
 
 def stream_raw(spark: SparkSession, raw_root: str, source: str) -> DataFrame:
@@ -29,18 +27,15 @@ def stream_raw(spark: SparkSession, raw_root: str, source: str) -> DataFrame:
     return (medallion.bronze_events if source == "events" else medallion.bronze_customers)(rows)
 
 
-def once_per_batch(store: Store, name: str, apply: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that skips a micro-batch that was applied before a restart."""
-    store.create("control.applied", APPLIED)
+def once_per_batch(store: Store, table: str, apply: Callable[[DataFrame, int, dict[str, str]], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that skips a micro-batch that the table holds already.
+
+    apply(rows, batch, notes) must commit the notes with the last of its writes to the table.
+    """
 
     def run(rows: DataFrame, batch: int) -> None:
-        applied = store.read("control.applied")
-        done = applied.filter(F.col("query") == name).first()
-        if done is not None and done["batch"] >= batch:
-            return
-        apply(rows, batch)
-        mark = rows.sparkSession.createDataFrame([(name, batch)], APPLIED.schema)
-        store.replace("control.applied", merge.merge(applied, mark, ("query",)), "mark")
+        if int(store.note(table, "stream", "-1")) < batch:
+            apply(rows, batch, {"stream": str(batch)})
 
     return run
 
@@ -51,15 +46,10 @@ def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
 
 
 def silver_sink(store: Store) -> Callable[[DataFrame, int], None]:
-    """Merges each micro-batch of bronze events into silver, newer changes winning; late ones change nothing they should not.
-
-    Rows without event_id go to control.rejected_rows; a micro-batch that failed after that sets them aside once more.
-    """
+    """Merges each micro-batch of bronze events into silver as the pipeline does, in one commit that only rewrites the months it touches."""
 
-    def apply(rows: DataFrame, batch: int) -> None:
-        incoming = medallion.normalized_events(medallion.latest(set_aside(store, rows, "event_id", "bronze.events"), "event_id"))
-        target = store.read("silver.events")
-        store.replace("silver.events", merge.merge(target, incoming, ("event_id",), when=F.col("s.updated_at") > F.col("t.updated_at")), "stream")
+    def apply(rows: DataFrame, batch: int, notes: dict[str, str]) -> None:
+        incremental.merge_events(store, rows, F.current_timestamp(), notes, "stream")
 
     return once_per_batch(store, "silver.events", apply)
 
@@ -73,10 +63,10 @@ def counter_sink(store: Store, cut_off_us: int = counters.CUT_OFF_US) -> Callabl
     store.create("state.event_cells", CELLS)
     store.create("state.event_counters", EMISSIONS)
 
-    def apply(rows: DataFrame, batch: int) -> None:
+    def apply(rows: DataFrame, batch: int, notes: dict[str, str]) -> None:
         cells, emitted = counters.advance(store.read("state.event_cells"), store.read("state.event_counters"), rows, batch + 1, cut_off_us)
         store.append("state.event_counters", emitted)
-        store.append("state.event_cells", cells)
+        store.append("state.event_cells", cells, notes=notes)
 
     return once_per_batch(store, "state.event_cells", apply)
 

@@ -36,12 +36,15 @@ def test_versions_time_travel_and_tags(store, spark):
     assert rows_of(store.read("t"), "k", "v") == [("a", 2), ("b", 3)]
     assert rows_of(store.read("t", 1), "k", "v") == [("a", 1)]
     assert rows_of(store.read("t", "before"), "k", "v") == [("a", 1), ("b", 2)]
-    assert [(v.operation, v.parts, v.tags) for v in store.history("t")] == [("create", (), ()), ("append", (1,), ()), ("append", (1, 2), ("before",)), ("merge", (3,), ())]
+    assert [(v.operation, len(v.parts), v.tags) for v in store.history("t")] == [("create", 0, ()), ("append", 1, ()), ("append", 2, ("before",)), ("merge", 1, ())]
+    assert rows_of(store.snapshots("t"), "version", "operation", "parts") == [(0, "create", 0), (1, "append", 1), (2, "append", 2), (3, "merge", 1)]
+    assert rows_of(store.columns(), "table_schema", "table_name", "column_name", "data_type") == [("", "t", "at", "timestamp"), ("", "t", "k", "string"), ("", "t", "v", "int")]
     assert rows_of(store.partitions("t"), "part", "rows") == [("2026-01-01", 2)]
     assert store.read("t", period=("2026-01-02", "2026-01-09")).count() == 0 and store.read("t", period=("2026-01-01", "2026-01-01")).count() == 2
     assert store.added("t", 2).count() == 2
     assert store.compact("t") == 4
-    assert store.vacuum("t", keep=1) == [3]
+    merged = store.version("t", 3).parts[0]
+    assert store.vacuum("t", keep=1) == [merged.split("/_part")[0]] and store.vacuum("t", keep=1) == []
     assert store.read("t", "before").count() == 2 and store.tables() == ["t"]
     with pytest.raises(StoreError):
         store.version("t", 99)
@@ -51,18 +54,81 @@ def test_versions_time_travel_and_tags(store, spark):
     assert store.current("t") is None
 
 
-def test_added_columns_read_as_null_and_second_writers_fail(store, spark, tmp_path):
+def test_added_columns_read_as_null_and_damaged_entries_are_errors(store, spark, tmp_path):
     store.append("u", spark.createDataFrame([("a",)], "k string"))
     wider = Store(spark, str(tmp_path / "store"), {"u": Table("k string, extra int")})
     assert rows_of(wider.read("u")) == [("a", None)]
     (tmp_path / "store/u/_log/1.json").write_text("{}")
     with pytest.raises(StoreError):
-        store.append("u", spark.createDataFrame([("b",)], "k string"))
-    (tmp_path / "store/u/_CURRENT").write_text("x")
-    for crc in (tmp_path / "store/u").glob("._CURRENT.crc"):
-        crc.unlink()
+        store.read("u")
+
+
+def letters(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "k string")
+
+
+def test_interleaved_writers_lose_no_committed_row(store, spark, tmp_path):
+    store.append("u", letters(spark, "a"))
+    other = Store(spark, str(tmp_path / "store"), {"u": Table("k string")})
+    # Each writer has written its rows when the other one commits first.
+    write = Store._write
+
+    def meanwhile(self, *args):
+        made = write(self, *args)
+        Store._write = write
+        other.append("u", letters(spark, "b"))
+        return made
+
+    Store._write = meanwhile
+    store.append("u", letters(spark, "c"))
+    assert rows_of(store.read("u")) == [("a",), ("b",), ("c",)]
+    Store._write = meanwhile
     with pytest.raises(StoreError):
-        store.current("u")
+        store.replace("u", letters(spark, "z"))
+    assert rows_of(other.read("u")) == [("a",), ("b",), ("b",), ("c",)]
+    # Made from a version that is no longer the newest.
+    with pytest.raises(StoreError):
+        store.replace("u", letters(spark, "z"), base=1)
+    store.replace("u", letters(spark, "d"))
+    assert rows_of(other.read("u")) == [("d",)]
+
+
+@pytest.mark.parametrize("operation", ["append", "replace", "sides"])
+def test_a_crash_after_any_step_leaves_the_table_as_it_was_or_as_it_shall_be(store, spark, operation):
+    store.append("u", letters(spark, "a"))
+
+    def act(k):
+        if operation == "append":
+            store.append("u", letters(spark, k))
+        elif operation == "replace":
+            store.replace("u", store.read("u").unionByName(letters(spark, k)))
+        else:
+            store.append("u", letters(spark, k), sides={"loaded_files": spark.createDataFrame([(k, "1")], "source_file string, version string")}, notes={"n": k})
+
+    class Crash(BaseException):
+        pass
+
+    steps = (("_write", Store), ("write", type(store._files)), ("place", type(store._files)))
+    for n, (name, owner) in enumerate(steps):
+        done = getattr(owner, name)
+
+        def crash(self, *args, done=done):
+            done(self, *args)
+            raise Crash
+
+        setattr(owner, name, crash)
+        try:
+            with pytest.raises(Crash):
+                act(f"x{n}")
+        finally:
+            setattr(owner, name, done)
+        committed = [("a",)] + ([("x2",)] if name == "place" else [])
+        assert rows_of(store.read("u")) == committed
+        if operation == "sides":
+            assert rows_of(store.side("u", "loaded_files"), "source_file") == committed[1:] and store.note("u", "n") == ("x2" if name == "place" else "")
+    act("y")
+    assert rows_of(store.read("u")) == [("a",), ("x2",), ("y",)]
+    assert len(store.vacuum("u", keep=9, abandoned_after=-1)) >= 2 and rows_of(store.read("u")) == [("a",), ("x2",), ("y",)]
 
 
 def test_raw_zone_keeps_each_line_once(spark, tmp_path):
@@ -186,7 +252,7 @@ def test_pipeline_twice_then_a_second_batch(spark, tmp_path):
     p.run("2026-03-04", fetch)
     first = snapshot(p)
     assert [len(first[n]) for n in first] == [3, 1, 3, 1, 1]
-    assert p.store.read("control.rejected_rows").count() == 1
+    assert p.store.side("silver.events", "rejected_rows").count() == 1
     assert p.watermark("events") == "2026-03-04T00:00:00Z"
     assert p.store.read("quality.check_results").count() == 7
     p.run("2026-03-04", fetch)
@@ -204,6 +270,39 @@ def test_pipeline_twice_then_a_second_batch(spark, tmp_path):
     assert snapshot(p)["silver.events"] == before["silver.events"]
 
 
+def test_a_small_batch_rewrites_its_month_only_and_deletes_remove(spark, tmp_path):
+    p = Pipeline(spark, Store(spark, str(tmp_path / "s")), str(tmp_path / "r"), reference=lambda: NOW)
+    write = lambda day, *records: rawlines.write_lines(spark.createDataFrame([(json.dumps(r),) for r in records], "value string"), p.raw_root, "events", day)
+    months = {m: raw_event(f"e_{m}", u=f"2026-0{m}-20T00:00:00Z", o=f"2026-0{m}-20T00:00:00Z", t="ticket_opened") for m in (1, 2, 3)}
+    write("2026-03-04", *months.values())
+
+    def step(day):
+        p.bronze("events", day)
+        p.silver_events()
+        p.gold()
+        return {n: dict((x.partition("/_part=")[2], x) for x in p.store.newest(n).parts) for n in ("silver.events", "gold.events_daily_summary", "gold.ticket_events", "gold.customer_monthly_activity")}
+
+    first = step("2026-03-04")
+    assert all(sorted(parts) == ["2026-01", "2026-02", "2026-03"] for parts in first.values())
+    write("2026-03-05", {**months[2], "updated_at": "2026-03-01T00:00:00Z", "channel": "mail"})
+    second = step("2026-03-05")
+    for n, parts in second.items():
+        assert {m for m in parts if parts[m] != first[n][m]} == {"2026-02"}, n
+    # A delete says little more than whom it deletes; an older change that comes after it does not bring the event back.
+    write("2026-03-06", {"event_id": "E_1 ", "updated_at": "2026-03-02T00:00:00Z", "op": "delete"}, {"event_id": "e_9", "updated_at": "2026-03-02T00:00:00Z", "op": "delete"})
+    third = step("2026-03-06")
+    assert {m for m in second["silver.events"] if third["silver.events"].get(m) != second["silver.events"][m]} == {"2026-01"}
+    write("2026-03-07", {**months[1], "updated_at": "2026-03-01T00:00:00Z"})
+    step("2026-03-07")
+    for n in third:
+        assert p.store.read(n).count() == 2, n
+    assert rows_of(p.store.read("silver.events"), "event_id", "channel") == [("e_2", "mail"), ("e_3", "chat")]
+    before = snapshot(p)
+    p.silver_events(full=True)
+    p.gold(rebuild=True)
+    assert snapshot(p) == before
+
+
 def test_a_failed_gate_stops_gold_but_keeps_its_results(spark, tmp_path):
     failed = []
     p = Pipeline(spark, Store(spark, str(tmp_path / "s")), str(tmp_path / "r"), reference=lambda: NOW, on_failure=lambda stage, error: failed.append(stage))
@@ -266,7 +365,7 @@ def test_streams_end_where_the_batch_does(spark, tmp_path):
             write(day, records)
         for name, sink in (("silver", silver), ("counts", counts)):
             live.start(live.stream_raw(spark, raw, "events"), sink, str(tmp_path / f"c_{name}")).awaitTermination()
-    assert rows_of(store.read("silver.events"), "event_id") == [("e_1",), ("e_2",), ("e_3",)]
+    assert rows_of(store.read("silver.events"), "event_id") == [("e_2",), ("e_3",)]
     assert rows_of(live.live_counts(store), "customer_id", "event_count") == [("c_1", 1)]
     windowed = live.windowed_counts(live.stream_raw(spark, raw, "events"))
     query = windowed.writeStream.format("memory").queryName("windowed").outputMode("update").trigger(availableNow=True).start()
@@ -279,4 +378,4 @@ def test_a_stream_sets_rows_without_key_aside(spark, tmp_path):
     rawlines.write_lines(spark.createDataFrame([(json.dumps(raw_event(e)),) for e in ("e_1", None, "  ")], "value string"), raw, "events", "2026-03-04")
     live.start(live.stream_raw(spark, raw, "events"), live.silver_sink(store), str(tmp_path / "c")).awaitTermination()
     assert rows_of(store.read("silver.events"), "event_id") == [("e_1",)]
-    assert rows_of(store.read("control.rejected_rows"), "table_name", "reason") == [("bronze.events", "no event_id")] * 2
+    assert rows_of(store.side("silver.events", "rejected_rows"), "table_name", "reason") == [("bronze.events", "no event_id")] * 2
