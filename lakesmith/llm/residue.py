@@ -1,12 +1,16 @@
 """Template residue, filler, error pages and script notices in the place of content.
 
-One multi-pattern automaton holds the phrases of all languages. A text is a case when what the phrases cover is most of
-what the text says: a sentence that holds a phrase and nothing specific (no code, address, quotation or figure of its
-own) is covered as a whole, otherwise only the phrase itself is; placeholders are covered as they stand; page furniture
-(titles of boards, navigation, references, copyright lines, tags) counts on neither side. What is quoted (indented,
-fenced, in backticks or quotation marks) is covered only if the text says nothing of its own around it.
+One multi-pattern automaton holds the phrases of all languages. A text is read once through it, as plain words between
+single spaces; it is a case when what the matches cover is most of the document. Covered are the letters of phrases that
+stand for residue, and beside them those of what such notices say besides (`to continue`, `in your browser`), which count
+only where a phrase was found. Stand-in words are patterns of the same automaton, and a text of nothing but them is filler.
 
-The automaton is built once per worker; a text is read once, and to its end unless its answer is certain before; no shuffle is needed.
+Not everything is a phrase. Two things are measured beside the automaton: placeholders, whose names are free, by their
+notation, with the whole notation counting as covered; and meaningless letters or words, by what no text of a language
+lacks (a variety of letters, function words).
+
+What counts on neither side of the share: tags, page furniture (the lines around a post), numbers and hexadecimal ids.
+What is quoted (indented, fenced, in backticks or quotation marks) is content, unless the text says nothing around it.
 """
 
 from __future__ import annotations
@@ -22,335 +26,178 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakesmith.llm import phrases
 from lakesmith.plans.shipping import ship
 
-#: A text is a case when the covered characters make up at least this share of covered and own characters.
+#: A text is a case when residue makes up at least this share of its letters; for stand-in words, which are words of posts as well, it is more.
 COVERAGE = 0.6
+FILLER_COVERAGE = 0.85
 
-# The phrases, in lower case, by kind and language.
-SCRIPT_PHRASES = (
-    # English
-    "needs javascript", "need javascript", "requires javascript", "require javascript", "javascript is required", "javascript required", "javascript is disabled",
-    "javascript is turned off", "javascript is switched off", "javascript is off", "javascript must be enabled", "javascript disabled", "enable javascript", "turn on javascript", "turn javascript on",
-    "switch on javascript", "switch javascript on", "allow javascript", "activate javascript", "without javascript", "relies on javascript", "has js disabled", "js is disabled", "js disabled",
-    "requires scripting", "enable scripting", "enable scripts", "allow scripts", "scripts are switched off", "scripts are disabled", "scripts are turned off", "scripts are blocked", "blocking scripts",
-    "relies on client scripts", "needs scripts", "requires scripts", "without scripts", "scripts and cookies are required", "cookies are required", "enable cookies", "cookies are disabled", "accept cookies",
-    "requires cookies", "needs cookies", "we use cookies", "this site uses cookies", "uses cookies", "cookies and scripts", "checking your browser", "verify that you are not a robot", "verify you are human",
-    "verify that you are human", "are you a robot", "not a robot", "complete the captcha", "your browser is too old", "your browser is not supported", "unsupported browser", "upgrade your browser",
-    "update your browser", "check your browser settings", "turn it on in your browser", "turn it on and reload", "switch it on to go on", "allow it for this address", "accept to go on", "has it disabled", "has it turned off", "has it switched off", "a plain version is not available",
-    # Spanish
-    "active javascript", "habilite javascript", "habilita javascript", "activa javascript", "active el javascript", "requiere javascript", "necesita javascript", "debe permitir los scripts", "permita los scripts", "permitir los scripts",
-    "habilitar javascript", "activar javascript", "javascript desactivado", "javascript está desactivado", "utilizamos cookies", "usamos cookies", "comprobando su navegador", "no es un robot",
-    # Portuguese
-    "ativar o javascript", "ative o javascript", "habilite o javascript", "habilitar o javascript", "requer javascript", "precisa de javascript", "permita os scripts", "permitir scripts", "permitir os scripts",
-    "javascript desativado", "javascript está desativado", "usamos cookies", "verificando o seu navegador", "não é um robô",
-    # French
-    "activer javascript", "activez javascript", "nécessite javascript", "javascript est nécessaire", "javascript est requis", "javascript est désactivé", "javascript désactivé", "autoriser les scripts", "autorisez les scripts", "exécuter les scripts",
-    "activer les scripts", "nous utilisons des cookies", "vérification de votre navigateur", "pas un robot",
-    # German
-    "aktives javascript", "javascript nötig", "javascript benötigt", "javascript erforderlich", "benötigt javascript", "javascript aktivieren", "javascript einschalten", "aktivieren sie javascript", "javascript ist deaktiviert",
-    "javascript deaktiviert", "ohne javascript", "skripte erlauben", "skripte zulassen", "skripte aktivieren", "wir verwenden cookies", "browser wird geprüft", "kein roboter",
-    # Russian
-    "включите javascript", "включить javascript", "требуется javascript", "необходим javascript", "нужен javascript", "javascript отключ", "разрешите скрипты", "разрешить скрипты", "мы используем cookie",
-    "проверка браузера", "вы не робот",
-    # Japanese, Chinese, Korean
-    "javascript を有効", "javascriptを有効", "javascript が無効", "javascriptが無効", "javascript が必要", "javascriptが必要", "スクリプトを有効", "スクリプトを許可", "cookie を有効", "クッキーを有効", "请启用 javascript", "启用javascript",
-    "자바스크립트를 활성화", "javascript를 활성화",
-)
-#: Notices are also put together from a verb and what it asks for.
-_ASKING_VERBS = ("needs", "need", "requires", "require", "relies on", "rely on", "depends on", "makes use of", "works only with", "only works with", "can only be shown with", "can only be viewed with", "cannot be shown without", "does not work without",
-                 "doesn't work without", "will not work without", "built for browsers with", "made for browsers with", "your browser has no", "your browser does not support")
-_ASKED_FOR = ("javascript", "java-script", "java script", "js", "scripting", "client scripts", "scripts", "cookies", "active scripting")
-SCRIPT_RULE_PHRASES = tuple(f"{verb} {thing}" for verb in _ASKING_VERBS for thing in _ASKED_FOR)
-#: Bare orders, which posts give as well: they cover their sentence only beside one of the contexts.
-WEAK_PHRASES = frozenset((
-    "enable javascript", "turn on javascript", "turn javascript on", "switch on javascript", "switch javascript on", "allow javascript", "activate javascript", "without javascript", "enable scripting", "enable scripts", "allow scripts",
-    "enable cookies", "without scripts", "javascript disabled", "js disabled", "not found", "forbidden", "unauthorized", "bad request", "bad gateway", "service unavailable", "connection refused", "connection timed out", "connection reset",
-    "permission denied", "server error", "internal server error", "placeholder", "heading", "gateway timeout", "too many requests", "untitled", "and reload", "cookies and scripts", "uses cookies", "need javascript", "is unavailable", "cannot be found", "could not be found", "has been removed", "has been deleted", "was removed", "traceback", "stack trace", "could not be loaded", "cannot be loaded", "does not exist", "doesn't exist", "could not be resolved", "did not answer in time", "sorry", "oops", "hmm", "error id",
-))
-CONTEXT_PHRASES = ("your browser", "this page", "this site", "this board", "this view", "this forum", "this thread", "our site", "to view", "to see", "to continue", "to read", "to go on", "to use", "please", "that page", "that post", "that document", "that address", "that thread", "that topic", "that question", "that answer", "this post", "this document", "this address", "this topic", "sorry", "oops", "for this address", "for this site", "this content", "this check", "server")
-
-ERROR_PHRASES = (
-    # English
-    "page not found", "file not found", "not found on this server", "page cannot be found", "page could not be found", "page can't be found", "page does not exist", "page no longer exists", "page you were looking for",
-    "page you are looking for", "page you requested", "requested url", "requested page", "has moved or was taken down", "was taken down", "topic has been removed", "thread has been removed", "post has been removed",
-    "go back to the start page", "return to the home page", "internal server error", "bad gateway", "gateway timeout", "gateway time-out", "service unavailable", "service temporarily unavailable", "temporarily unavailable",
-    "bad request", "not found", "forbidden", "unauthorized", "method not allowed", "request timeout", "access denied", "access is denied", "permission denied", "don't have permission", "do not have permission", "not allowed to view",
-    "too many requests", "rate limit exceeded", "something went wrong", "an error occurred", "an error has occurred", "unexpected error", "application error", "fatal error", "unhandled exception", "stack overflow in",
-    "could not connect", "could not reach the database", "cannot reach the database", "could not reach", "error establishing a database connection", "database error", "connection refused", "connection timed out", "connection reset", "host is unreachable", "no response from",
-    "server is busy", "server error", "unavailable right now", "is unavailable", "cannot be found", "can not be found", "could not be loaded", "cannot be loaded", "does not exist", "doesn't exist", "could not be resolved", "did not answer in time", "bad handshake", "this is awkward", "we are sorry", "we're sorry", "sorry", "oops", "hmm", "try the search", "use the search", "error id", "could not be found", "has been removed", "has been deleted", "was removed", "no longer available", "is no longer here", "come back later", "come back soon", "back shortly", "fatal: uncaught", "uncaught exception", "traceback", "stack trace", "that address", "down for maintenance", "under maintenance", "scheduled maintenance", "maintenance mode", "we expect to be back", "will be back in a few minutes", "will be back", "we'll be back", "be right back", "try again later",
-    "please try again", "wait a moment and reload", "wait and reload", "seconds and reload", "minutes and reload", "you have sent too many", "and reload", "session has expired", "session has run out", "session expired", "sign in again", "log in again", "please log in", "please sign in", "you must be logged in", "you must log in", "you need to log in",
-    "you have to log in", "login required", "register before", "register to", "please register", "log in before", "sign in before", "log in first", "sign in first", "members only", "only for members", "only members can", "for registered users", "sign in to", "log in to continue", "log in to see", "forgot your password", "forgotten your password", "requestid", "request id", "error code", "this account has been suspended", "nothing to see here", "no such page",
-    # Spanish
-    "página no encontrada", "no se encontró la página", "no se ha encontrado", "la página no existe", "el enlace ya no es válido", "acceso denegado", "error interno", "servicio no disponible", "en mantenimiento", "inicie sesión",
-    "iniciar sesión", "su sesión ha caducado", "vuelva a intentarlo", "inténtelo de nuevo", "demasiadas solicitudes", "algo salió mal",
-    # Portuguese
-    "página não encontrada", "a página não existe", "o tópico foi removido", "acesso negado", "erro interno", "serviço indisponível", "em manutenção", "inicie sessão", "faça login", "iniciar sessão", "a sua sessão expirou",
-    "sua sessão expirou", "tente novamente", "algo correu mal", "algo deu errado",
-    # French
-    "page introuvable", "page non trouvée", "cette page n'existe", "n'existe plus", "sujet a été supprimé", "accès refusé", "accès interdit", "erreur interne", "service indisponible", "en maintenance", "connectez-vous",
-    "veuillez vous connecter", "votre session a expiré", "veuillez réessayer", "réessayez plus tard", "une erreur est survenue", "une erreur s'est produite",
-    # German
-    "seite nicht gefunden", "seite wurde nicht gefunden", "existiert nicht mehr", "zugriff verweigert", "zugriff nicht erlaubt", "interner serverfehler", "interner fehler", "dienst nicht verfügbar", "nicht verfügbar", "wartungsarbeiten",
-    "wird gewartet", "bitte anmelden", "melden sie sich an", "bitte melden sie sich", "sitzung ist abgelaufen", "sitzung abgelaufen", "versuchen sie es später", "bitte versuchen sie es", "ein fehler ist aufgetreten", "zu viele anfragen",
-    # Russian
-    "страница не найдена", "страница удалена", "тема удалена", "доступ запрещ", "ошибка сервера", "внутренняя ошибка", "сервис недоступен", "сервер недоступен", "технические работы", "войдите, чтобы", "войдите в систему", "сессия истекла",
-    "попробуйте позже", "произошла ошибка", "слишком много запросов",
-    # Japanese, Chinese, Korean
-    "ページが見つかりません", "ページは見つかりません", "お探しのページ", "アクセスが拒否", "アクセスできません", "サーバーエラー", "エラーが発生", "メンテナンス中", "ログインしてください", "セッションの有効期限", "しばらくしてから", "页面不存在", "找不到页面", "页面未找到",
-    "访问被拒绝", "服务器错误", "페이지를 찾을 수 없습니다",
-)
-FILLER_PHRASES = (
-    # English
-    "lorem ipsum", "coming soon", "n/a yet", "not written yet", "nothing here yet", "not available yet", "no description", "sample row", "sample data", "to be announced", "to be added", "to be written", "under construction", "sample answer", "sample text", "sample question", "sample post", "example text", "dummy text", "dummy copy", "dummy answer", "filler text", "placeholder text", "placeholder",
-    "goes here", "comes here", "will follow", "your text here", "text here", "your comment here", "your answer here", "your question here", "write your", "type your", "insert text", "insert your", "enter your text", "click to edit", "click here to edit", "add your", "add the accepted answer",
-    "todo:", "tbd", "tba", "fixme", "fill in before launch", "fill in later", "paste body", "replace me", "replace this", "change me", "delete this", "this is a test", "just a test", "test test", "test post", "test message", "hello world", "no content", "untitled", "heading", "subheading",
-    "the quick brown fox", "jumps over the lazy dog", "foo bar", "blah blah", "asdf", "qwer", "lipsum", "dolor sit amet", "consectetur",
-    # Spanish
-    "texto de ejemplo", "texto de relleno", "texto de prueba", "texto provisional", "respuesta de ejemplo", "próximamente", "escriba aquí", "escribe aquí", "aquí va el texto", "aquí irá", "pendiente de redactar",
-    # Portuguese
-    "texto de exemplo", "texto de teste", "texto provisório", "resposta de exemplo", "em breve", "escreva aqui", "aqui vai o texto", "aqui virá", "a preencher",
-    # French
-    "texte d'exemple", "texte de remplissage", "texte provisoire", "à remplacer avant publication", "faux texte", "réponse d'exemple", "à venir", "bientôt disponible", "écrivez ici", "votre texte ici", "à compléter", "à remplacer",
-    # German
-    "beispieltext", "blindtext", "platzhalter", "mustertext", "musterantwort", "hier steht später", "hier steht der text", "hier könnte", "text folgt", "folgt in kürze", "demnächst", "inhalt folgt",
-    # Russian
-    "пример текста", "текст-заполнитель", "здесь будет", "скоро будет", "пример ответа", "введите текст", "тестовый текст", "рыба-текст", "текст появится",
-    # Japanese, Chinese, Korean
-    "サンプルテキスト", "ダミーテキスト", "ここに本文", "ここにテキスト", "ここに入力", "準備中", "近日公開", "示例文本", "占位符", "此处填写", "샘플 텍스트",
-)
+#: Of what is covered, at least this share of all letters must be phrases or placeholders themselves.
+CORE = 0.25
 
-#: Stand-in words. A text of nothing else is filler.
-FILLER_WORDS = frozenset(
-    "lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea "
-    "commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
-    "val row n na 123 foo bar baz qux quux spam eggs test testing tests asdf asdfg asdfgh asd sdf qwer qwert qwerty qwertz yxcv zxcv zxcvb jklö jkl hjkl dfgh fghj uiop wasd xyz xxx xxxx abc abcd def blah bla blub yada lalala hello world dummy filler placeholder "
-    "sample example copy text word words sentence paragraph heading title body item content goes here comes some more until final arrives the a of and this is for".split()
-)
-_STAND_INS = frozenset(("copy", "word", "words", "sentence", "text", "paragraph", "placeholder", "filler", "dummy", "item"))
-#: The syllables of which made-up Latin is put together.
-SYLLABLES = re.compile(r"(?:al|con|do|ex|fe|lam|mi|ne|nus|pi|qua|rit|sed|tor|ur|vel|lor|rem|ip|sum|lo|dol|sit|amet|tem|por|nim|ven|tis|bus|tur)+")
-#: Words for scripts, and words that say what for, in languages in which posts do not name both in one sentence.
-_SCRIPT_WORD = re.compile(r"java-?script|\bjs\b|\bscripts?\b|scripting|skript|скрипт|スクリプト|脚本|스크립트")
-_PURPOSE_WORD = re.compile(
-    r"navegador|navigateur|página|\bhilo\b|\bfil\b|\bleer\b|\bler\b|\blire\b|\bvoir\b|afficher|\blesen\b|antworten|\bseite\b|anzeige|\bforum\b|tópico|respostas|respuestas|réponses|continuar|continuer"
-    r"|страниц|просмотр|ответ|браузер|чтобы|ページ|表示|ブラウザ|スレッド|回答|続け|浏览|页面|페이지"
-)
-#: A line of a stack trace.
-_FRAME = re.compile(r"^(?:at .{1,120}[:(]\d+\)?|file \".*\", line \d+.*|.{1,80} on line \d+\.?|traceback.*:)$")
-#: A line that only announces content, and one that names an error by its number or status.
-_STUB = re.compile(r"^(?:\w+ ){1,2}(?:to follow|to come|\(empty\)|\(none\)|\(missing\)|n/a|n/a yet|pending|missing|empty)[\s.!…:-]*$")
-_ERROR_LINE = re.compile(r"^(?:error|fehler|erreur|erro|ошибка|エラー)[ :#]*\d{3,5}\W*$|\berror\b.*\bstatus\b\W+[45]\d\d\b")
-#: Those stand-in words that are ordinary words as well and prove nothing alone.
-_COMMON = frozenset("a the of and this is for do in ad id non some more until final here goes comes arrives title body item content text word words sentence copy example sample test tests testing hello world paragraph heading ex et est sed row n na val".split())
-
-#: Placeholders that were never filled, as patterns.
+#: A text of so many letters has more than so many different ones; one of so many words of letters alone has a function word.
+FEW_LETTERS = ((12, 2), (24, 8))
+MANY_WORDS = 16
+
+# Frequent words of two letters or more, without which texts of the languages do not get along.
+FUNCTION_WORDS = frozenset(
+    "the to of and is in it you for that this on are not with be if de la el que en los las por para un una le les et des est pas pour dans der die und das ist ein nicht den von zu mit auf em um não os uma da il di che è per sono het een van niet op nie na jest się do i w och att det som är för på inte".split()
+) - {"do", "i", "w", "un"}
+
+PHRASE, CONTEXT, WORD = 1, 2, 4
+
+#: Notations of placeholders; a name with a colon or an equals sign before one is its label.
 PLACEHOLDERS = re.compile(
-    r"\{\{\{?[^{}\n]{0,60}\}?\}\}|\$\{[^{}\n]{0,60}\}|#\{[^{}\n]{0,60}\}|\{[0-9]{1,3}\}|%%[\w .-]{1,60}%%|%\([\w .-]{1,60}\)[sd]|<%[=-]?[^%\n]{0,80}%>|\[\[[\w .:-]{1,60}\]\]|@@[\w .-]{1,60}@@|__[A-Z][A-Z0-9_ ]*__"
-    r"|<(?:your|insert|enter|add)\b[^<>\n]{1,60}>|\[(?:your|insert|enter|add)\b[^\[\]\n]{1,60}\]|\[[A-Z][A-Z0-9_. ]{1,40}\]|\{[a-z]+_[a-z_]+\}|%[A-Z_]{3,40}%"
+    r"(?:\b[\w.-]+[ \t]*[=:][ \t]*)?(?:\{\{\{?[^{}\n]*\}?\}\}|\{%[^%\n]*%\}|\$\{[^{}\n]*\}|#\{[^{}\n]*\}|\{[0-9]{1,3}\}|%%[\w .-]+%%|%\([\w .-]+\)[sd]|<%[=-]?[^%\n]*%>|\[\[[\w .:-]+\]\]|@@[\w .-]+@@|\b__[A-Z][A-Z0-9_ ]*__\b"
+    r"|<(?:your|insert|enter|add)\b[^<>\n]+>|\[(?:your|insert|enter|add)\b[^\[\]\n]+\]|\[[A-Z][A-Z0-9_. ]+\]|\{[a-z]+_[a-z_]+\}|%[A-Z_]{3,}%)"
 )
 
-#: Page furniture, which is neither residue nor content. Matched against single lines.
+#: Page furniture, as whole lines.
 FURNITURE = re.compile(
-    r"^(?:\w[\w .-]{0,30} board|home(?: *[|>»·/] *[\w ]+)+|(?:[\w ]{1,20} *[|»·] *){2,}[\w ]{1,20}|(?:ref|reference|ray|error|request|id|code|trace|incident)[ .:#]*(?:id[ :]*)?[0-9a-f-]{3,40}\.?|(?:©|\(c\)|copyright)\b.{0,60}|(?:©|\(c\)).{0,60}"
-    r"|(?:accepted )?answers? \(\d+ votes?\)|(?:asked|answered|edited|posted|viewed|active|modified)\b.{0,40}(?:ago|times|today|yesterday)|\d+ (?:comments?|votes?|answers?|views?)|\d+ (?:of|/) \d+|share|reply|report|log ?in|sign up|search|menu"
-    r"|[\w.-]+/\d+(?:\.\d+)+|(?:server|date|via|etag|connection|location|retry-after|cache-control|set-cookie|x-[\w-]+|content-[\w-]+): .*|-{3,}|={3,}|\*{3,}|(?=[a-f]*[0-9])[0-9a-f]{8,64}|[|·•>»*-]+)$", re.IGNORECASE
+    r"^\W*(?:[\w.-]+ board|(?:home|questions|tags|users|about|help|contact|faq|imprint|login|register)(?: *[|>»·/] *[\w ]+)+|(?:ref|reference|ray|request|trace|incident)[ .:#]*(?:id[ :]*)?[0-9a-f-]{3,}\.?|(?:©|\(c\)|copyright)\W.*"
+    r"|(?:accepted )?answers? \(\d+ votes?\)|(?:asked|answered|edited|posted|viewed|active|modified)\b.*(?:ago|times|today|yesterday)|\d+ (?:comments?|votes?|answers?|views?)|\d+ (?:of|/) \d+|share|reply|report|log ?in|sign up|search|menu"
+    r"|[\w.-]+/\d+(?:\.\d+)+|(?:server|date|via|etag|connection|location|retry-after|cache-control|set-cookie|x-[\w-]+|content-[\w-]+): .*)\W*$", re.IGNORECASE
 )
 
-_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][\w:-]*(?:\s[^<>]*)?/?>|<!doctype[^>]*>", re.IGNORECASE | re.DOTALL)
-_ERROR_TAG = re.compile(r"<Error>\s*<Code>(\w+)</Code>", re.IGNORECASE)
+#: Lines of a stack trace, which belong to the error that they follow.
+FRAME = re.compile(r"^(?:at \S.*[:(]\d+\)?|file \".*\", line \d+.*|.* on line \d+\.?)$")
+
+_TAG = re.compile(r"<!--.*?-->|</?(?!(?:your|insert|enter|add)\b)[A-Za-z][\w:-]*(?:\s[^<>]*)?/?>|<!doctype[^>]*>", re.IGNORECASE | re.DOTALL)
 _CODE_TAG = re.compile(r"<(pre|code|blockquote)\b[^>]*>.*?</\1>", re.IGNORECASE | re.DOTALL)
+#: An error as XML says in its tags what it is.
+_ERROR_XML = re.compile(r"<error>\s*<code>(\w+)</code>", re.IGNORECASE)
 _FENCE = re.compile(r"^(`{3,}|~{3,}).*?(?:^\1|\Z)", re.MULTILINE | re.DOTALL)
 _INDENTED = re.compile(r"^(?: {4}|\t|>).*$", re.MULTILINE)
-_QUOTED = re.compile(r"`[^`\n]{1,200}`|\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“\n]{1,200}“|«[^»\n]{1,200}»|(?<!\w)'[^'\n]{2,200}'(?!\w)|「[^」\n]{1,200}」")
-_SENTENCE = re.compile(r"[^.!?。！？…\n]+(?:\.(?=\w)[^.!?。！？…\n]*)*[.!?。！？…]*|[.!?。！？…]+")
-_ADDRESS = re.compile(r"https?://\S+")
-_MARK = "\x01"
-_WORD = re.compile(r"[^\W\d_]+|\b123\b")
-_LETTER = re.compile(r"\w")
-_BETWEEN = re.compile(r"\W+")
-_STATUS = re.compile(r"^\W*(?:(?:http|error|status|code)\b[ /:]*[\d.]*\W*)?[45]\d\d\b\W*(?:error\b\W*)?", re.IGNORECASE)
+_QUOTED = re.compile(r"`[^`\n]+`|\"[^\"\n]+\"|“[^”\n]+”|„[^“\n]+“|«[^»\n]+»|(?<!\w)'[^'\n]{2,}'(?!\w)|「[^」\n]+」")
+_QUOTE_MARKS = re.compile(r"^(?: {4}|\t|> ?)|`{3,}|~{3,}", re.MULTILINE)
+#: Hexadecimal ids, names with a version and numbers with what is glued to them.
+_NEUTRAL = re.compile(r"\b(?=[a-f-]*[0-9])[0-9a-f][0-9a-f-]{5,}\b|\b[\w-]+/\d+(?:\.\d+)+\b")
+_APART = re.compile(r"[\W_]+")
+_LETTER = re.compile(r"[^\W\d_]")
+_ONLY_WORDS = re.compile(r"[^\W\d_]+(?:[\s.,!?]+[^\W\d_]+)*[\s.,!?]*")
+
+
+def _words(text: str) -> str:
+    """A text as lower-case words between single spaces, with one before and behind."""
+    return f" {_APART.sub(' ', text.lower()).strip()} "
 
-#: Notices ask no questions about things and never speak of an "I".
-_SPEAKER = re.compile(r"\b(?:i|i'm|i've|i'd|my|mine|me)\b|^\W*(?:how|why|which|what|where|who|is there|are there|does|did|do|can|could) .*\?$")
+
+def _letters(text: str) -> int:
+    return len(_LETTER.findall(text))
+
+
+def _pattern(phrase: str) -> str:
+    """A phrase as it stands in `_words` of a text; scripts that do not set words apart match anywhere, a `*` leaves the end open."""
+    plain = _words(unicodedata.normalize("NFKC", phrase))
+    if "぀" <= max(plain) <= "￯":
+        return plain.strip()
+    return plain.rstrip() if phrase.endswith("*") else plain
 
 
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
-    """All phrases; a match ends at the position that the automaton reports."""
+    """All patterns; a match gives its length and kinds."""
+    kinds: dict[str, int] = {}
+    for kind, source in ((PHRASE, phrases.phrases()), (CONTEXT, phrases.CONTEXT_PHRASES), (WORD, (*phrases.FILLER_WORDS, *phrases.KEYED_WORDS))):
+        for phrase in source:
+            kinds[_pattern(phrase)] = kinds.get(_pattern(phrase), 0) | kind
     machine = ahocorasick.Automaton()
-    for phrase in (*SCRIPT_PHRASES, *SCRIPT_RULE_PHRASES, *ERROR_PHRASES, *FILLER_PHRASES):
-        machine.add_word(phrase, len(phrase))
+    for pattern, kind in kinds.items():
+        machine.add_word(pattern, (len(pattern), kind))
     machine.make_automaton()
     return machine
 
 
-def _weight(text: str) -> int:
-    """Letters and digits of a text."""
-    return len(_BETWEEN.sub("", text))
-
-
-def _phrases(line: str) -> list[tuple[int, int]]:
-    """Merged spans of the phrases in a line, whole words only where the script has words."""
-    spans: list[list[int]] = []
-    for last, size in automaton().iter(line):
-        start, stop = last + 1 - size, last + 1
-        if line[start].isascii() and start and line[start - 1].isalnum() or line[last].isascii() and line[last].isalpha() and stop < len(line) and line[stop].isalpha() and line[stop].isascii():
-            continue
-        spans.append([start, stop])
-    spans.sort()
-    merged: list[list[int]] = []
-    for start, stop in spans:
-        if merged and start <= merged[-1][1] + 1:
-            merged[-1][1] = max(merged[-1][1], stop)
-        else:
-            merged.append([start, stop])
-    return [(a, b) for a, b in merged]
-
-
-def is_filler(text: str) -> bool:
-    """Whether a text consists of stand-in words, of one repeated sign, or of letters struck at random."""
-    if text.isascii() and (distinct := sum(map(str.isalpha, set(text)))) <= 8:
-        letters = sum(map(str.isalpha, text))
-        if letters >= 12 and distinct <= (2 if letters < 24 else 8):
-            return True
-    words = _WORD.findall(text)
-    count = len(words)
-    if count < 2:
-        return False
-    known = sum(map(FILLER_WORDS.__contains__, words))
-    if known == count and (len(set(words)) == 1 or count >= 6 and len(set(words)) < count and not _STAND_INS.isdisjoint(words)):
-        return True
-    if count >= 5 and _mostly_syllables(words):
-        return True
-    return known >= 0.85 * count and any(w in FILLER_WORDS and w not in _COMMON for w in words)
-
+def _covered(words: str, spans: list[tuple[int, int]]) -> int:
+    """Letters in the union of some spans."""
+    total, reach = 0, 0
+    for start, stop in sorted(spans):
+        if stop > reach:
+            total += _letters(words[max(start, reach) : stop])
+            reach = stop
+    return total
+
+
+def _share(words: str, marks: int) -> float:
+    """The share of residue in some words and `marks` signs of placeholders; a text of stand-in words counts in full."""
+    total = _letters(words)
+    if not total:
+        return 1.0 if marks else 0.0
+    spans: dict[int, list[tuple[int, int]]] = {PHRASE: [], CONTEXT: [], WORD: []}
+    for last, (size, kinds) in automaton().iter(words):
+        for kind, own in spans.items():
+            if kinds & kind:
+                own.append((last + 1 - size, last + 1))
+    core = marks + (_covered(words, spans[PHRASE]) if spans[PHRASE] else 0)
+    share = 0.0
+    if core >= CORE * (total + marks):
+        share = (marks + _covered(words, spans[PHRASE] + spans[CONTEXT])) / (total + marks)
+    if share < 1 and spans[WORD] and _covered(words, spans[WORD] + spans[PHRASE]) >= FILLER_COVERAGE * total:
+        return 1.0
+    return share
 
-def _mostly_syllables(words: list[str]) -> bool:
-    """Whether nine words in ten are made-up Latin; stops as soon as too many are not."""
-    most = len(words)
-    for w in words:
-        if not SYLLABLES.fullmatch(w):
-            most -= 1
-            if most < 0.9 * len(words):
-                return False
-    return True
 
+def is_meaningless(text: str) -> bool:
+    """Whether a text consists of too few different letters, or of many words among which no language has a function word."""
+    letters = _LETTER.findall(text)
+    distinct = len(set(letters))
+    if any(len(letters) >= n and distinct <= most for n, most in FEW_LETTERS) and text.isascii():
+        return True
+    words = text.split()
+    return len(words) >= MANY_WORDS and text.isascii() and _ONLY_WORDS.fullmatch(text) is not None and FUNCTION_WORDS.isdisjoint(w.strip(".,!?") for w in words)
 
-def _plain(text: str) -> str:
-    return unicodedata.normalize("NFKC", text).replace("’", "'").replace("‘", "'").replace("\r\n", "\n").replace("\r", "\n")
 
+def _body(text: str) -> str:
+    """A text without tags and furniture; the frames of a stack trace become words of their own kind."""
+    lines = (line.strip() for line in _TAG.sub("\n", text).split("\n"))
+    return "\n".join("traceback" if FRAME.match(line.lower()) else line for line in lines if line and not FURNITURE.match(line))
 
-def _measure(text: str, enough: float = 0.0) -> tuple[int, int]:
-    """(covered, own) letters and digits of a text without quotations; placeholders are marks already.
 
-    Ends early only once the text could not be covered to the share `enough` even if all that is left were covered.
-    """
-    covered = own = 0
-    lines = [low for line in text.split("\n") if (low := line.strip().lower())]
-    # At most this can still be covered: all signs of the lines to come, 4 for a status line, 12 for each mark.
-    left = sum(map(len, lines)) + 4 * len(lines) + 12 * text.count(_MARK)
-    for low in lines:
-        # A share cannot be reached any more; 1 is for rounding. From 7 own letters on, what is quoted does not matter.
-        if own > 6 and own * enough > (covered + left) * (1 - enough) + 1:
-            break
-        left -= len(low) + 4 + 12 * low.count(_MARK)
-        bare = low.replace(_MARK, " ").strip(" \t#*_>|-=")
-        marks = low.count(_MARK)
-        if marks:
-            # The frame around placeholders (greetings, labels) is part of the template.
-            words = len(_WORD.findall(bare))
-            covered += 12 * marks
-            if words <= 5 * marks + 1:
-                covered += _weight(bare)
-            else:
-                own += _weight(bare)
-            continue
-        if not bare:
-            continue
-        if _FRAME.match(bare) or _STUB.match(bare) or _ERROR_LINE.search(bare) or (bare.count("|") > 2 and is_filler(bare)):
-            covered += _weight(bare)
-            continue
-        if FURNITURE.match(bare):
-            continue
-        if _STATUS.match(low) and len(_WORD.findall(low)) <= 8 and (_phrases(low) or re.fullmatch(_STATUS.pattern + r"[\w ,.'-]{0,40}", low, re.IGNORECASE)) and "`" not in low and " means " not in low and " is " not in low:
-            covered += max(4, _weight(low))
-            continue
-        ahead = left + len(low)
-        for sentence in _SENTENCE.findall(low):
-            if own > 6 and own * enough > (covered + ahead) * (1 - enough) + 1:
-                break
-            ahead -= len(sentence)
-            weight = _weight(sentence)
-            if not weight:
-                continue
-            spans = _phrases(sentence)
-            if not spans and _SCRIPT_WORD.search(sentence) and _PURPOSE_WORD.search(sentence) and "\x02" not in sentence and not _ADDRESS.search(sentence):
-                covered += weight
-                continue
-            if not spans:
-                if FURNITURE.match(sentence.strip()):
-                    continue
-                if is_filler(sentence):
-                    covered += weight
-                else:
-                    own += weight
-                continue
-            if FURNITURE.match(sentence.strip()):
-                continue
-            if _SPEAKER.search(sentence.strip()):
-                own += weight
-                continue
-            hit = sum(_weight(sentence[a:b]) for a, b in spans)
-            specific = "\x02" in sentence or _ADDRESS.search(sentence)
-            if all(sentence[a:b] in WEAK_PHRASES for a, b in spans) and hit < 0.8 * weight and not any(c in sentence for c in CONTEXT_PHRASES):
-                specific = True
-            words = len(_WORD.findall(sentence))
-            if not specific and (words <= 16 or hit >= 0.4 * weight):
-                covered += weight
-            else:
-                covered += hit
-                own += weight - hit
-    return covered, own
-
-
-def _core(plain: str) -> str:
-    """A text in lower case without tags, blank lines and furniture."""
-    lines = (y.strip() for y in _TAG.sub("\n", plain).lower().split("\n"))
-    return "\n".join(x for x in lines if x and (len(x) > 100 or not FURNITURE.match(x) or x.count("|") > 2 and is_filler(x)))
-
-
-def _may_be_covered(plain: str) -> bool:
-    """False only where nothing that could count as covered is in the text: no letter, no digit and no sign of a placeholder."""
-    return _LETTER.search(plain) is not None or _MARK in plain or PLACEHOLDERS.search(plain) is not None
-
-
-def coverage(text: str | None, enough: float = 0.0) -> float:
-    """The covered share of a text in [0, 1]; 0 for NULL, empty and blank texts, and where only furniture stands.
-
-    Of a share below `enough` only that it is below is told.
-    """
+def coverage(text: str | None) -> float:
+    """The share of residue in a text, in [0, 1]; 0 for NULL, empty and blank texts, and where only furniture stands."""
     if not text or text.isspace():
         return 0.0
-    plain = _plain(html.unescape(text))
-    if not _may_be_covered(plain):
-        return 0.0
-    plain = _ERROR_TAG.sub(r" error code \1 ", plain)
-    core = _core(plain)
-    if is_filler(core):
-        return 1.0
-    # What stands around quotations, with a sign in the place of each.
-    outside = _QUOTED.sub("\x02", _INDENTED.sub("\x02", _FENCE.sub("\x02", _CODE_TAG.sub("\x02", plain))))
-    outside = _TAG.sub("\n", PLACEHOLDERS.sub(_MARK, outside))
-    covered, own = _measure(outside, enough)
-    if "\x02" in outside and own <= 6 and covered == 0:
-        inside = re.sub(r"^(?: {4}|\t|> ?)", "", _QUOTED.sub(lambda m: m.group()[1:-1], plain), flags=re.MULTILINE).replace("```", "")
-        covered, own = _measure(_TAG.sub("\n", PLACEHOLDERS.sub(_MARK, inside)))
-    return covered / (covered + own) if covered else 0.0
+    plain = unicodedata.normalize("NFKC", html.unescape(text)).replace("’", "'").replace("‘", "'").replace("\r\n", "\n").replace("\r", "\n")
+    quotes: list[str] = []
+
+    def quoted(match: re.Match) -> str:
+        quotes.append(match.group())
+        return " "
+
+    def marked(part: str) -> tuple[str, int]:
+        signs = 0
+
+        def count(match: re.Match) -> str:
+            nonlocal signs
+            signs += len(match.group()) - match.group().count(" ")
+            return " "
+
+        return PLACEHOLDERS.sub(count, part), signs
+
+    outside = plain = _ERROR_XML.sub(r" error code \1 ", plain)
+    # Tags go before quotation marks are looked for, as their attributes stand in some.
+    outside = _TAG.sub("\n", _CODE_TAG.sub(quoted, outside))
+    for quotation in (_FENCE, _INDENTED, _QUOTED):
+        outside = quotation.sub(quoted, outside)
+    outside, marks = marked(outside)
+    body = _body(outside)
+    words = _words(_NEUTRAL.sub(" ", body.lower()))
+    if quotes and (marks or _LETTER.search(words)):
+        # Quotations are content beside what is said around them.
+        own = sum(map(_letters, quotes))
+        total = _letters(words) + marks
+        return _share(words, marks) * total / (total + own)
+    if quotes:
+        outside, marks = marked(_QUOTED.sub(lambda m: m.group()[1:-1], _QUOTE_MARKS.sub("", plain)))
+        body = _body(outside)
+        words = _words(_NEUTRAL.sub(" ", body.lower()))
+    share = _share(words, marks)
+    return 1.0 if share < 1 and not marks and is_meaningless(body.lower()) else share
 
 
 def is_residue(text: str | None, threshold: float = COVERAGE) -> bool:
-    return coverage(text, threshold) >= threshold
+    return coverage(text) >= threshold
 
 
 def measure(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = COVERAGE) -> DataFrame:
