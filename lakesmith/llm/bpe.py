@@ -16,7 +16,8 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesmith.plans.shipping import ship
@@ -127,17 +128,23 @@ def vocabulary(name: str, folder: str = FOLDER) -> str:
     return os.path.join(folder, f"{name}.tiktoken")
 
 
+def ship_vocabulary(spark: SparkSession, path: str) -> str:
+    """Has the executors fetch a vocabulary file of the driver; its name among their files."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """(key, ids array<int>): one row per document, in the vocabulary's ids without special tokens.
 
     NULL and empty texts give an empty list; blank and odd characters, and the names of special tokens, are encoded as
     ordinary text. Repeated keys and NULL keys are kept as they are; other columns are never read.
     """
-    path = vocabulary(name, folder)
     ship(documents.sparkSession)
+    file = ship_vocabulary(documents.sparkSession, vocabulary(name, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(SparkFiles.get(file)).encode
         for batch in batches:
             keys, first, ends, ids = batch.column(0), 0, [0], []
             for row, value in enumerate(batch.column(1)):
@@ -155,11 +162,11 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """(key, tokens int): the length of each document in tokens; only the counts leave the workers."""
-    path = vocabulary(name, folder)
     ship(documents.sparkSession)
+    file = ship_vocabulary(documents.sparkSession, vocabulary(name, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(SparkFiles.get(file)).encode
         for batch in batches:
             counts = [len(encode(value.as_py())) for value in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], names=["k", "tokens"])

@@ -1,7 +1,7 @@
 """Filling containers of a fixed capacity (best-fit decreasing with a segment tree over remaining capacities).
 
-Items are spread by a hash over groups of a bounded expected size, which are packed independently and in parallel; the
-waste this costs is at most about one container per group. Within a group, items come in decreasing size; a segment tree
+Items are spread by a hash over groups of a bounded expected size, which are packed independently and in parallel; this
+adds at most about one partly filled container per group. Within a group, items come in decreasing size; a segment tree
 over remaining capacities (a leaf per capacity, holding how many containers are open with that much room) yields the
 tightest open container in logarithmic time per item.
 """
@@ -66,43 +66,43 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], int]:
 
 
 def pieces(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "tokens") -> DataFrame:
-    """(key, piece, first, tokens): an item that fits is one piece; a larger one gives full pieces and a rest.
+    """(key, copy, piece, first, tokens): an item that fits is one piece; a larger one gives full pieces and a rest.
 
-    Items whose size is NULL, zero or negative are left out.
+    Equal items (one key and one size, NULL keys among them) are counted and numbered as copies, so that every piece
+    has a name of its own that does not depend on the order of rows. Items whose size is NULL, zero or negative are left out.
     """
-    items = sizes.select(F.col(f"`{key}`").alias("k"), F.col(f"`{size}`").cast("long").alias("n")).filter("n > 0")
-    cut = items.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))))
+    items = sizes.select(F.col(f"`{key}`").alias("k"), F.col(f"`{size}`").cast("long").alias("n")).filter("n > 0").groupBy("k", "n").agg(F.count(F.lit(1)).alias("copies"))
+    copies = items.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    cut = copies.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))))
     first = F.col("piece").cast("long") * capacity
-    return cut.select(F.col("k").alias(key), "piece", first.alias("first"), F.least(F.col("n") - first, F.lit(capacity)).cast("int").alias("tokens"))
+    return cut.select(F.col("k").alias(key), "copy", "piece", first.alias("first"), F.least(F.col("n") - first, F.lit(capacity)).cast("int").alias("tokens"))
 
 
 def piece_count(sizes: DataFrame, capacity: int, size: str = "tokens") -> int:
-    """How many pieces smaller than a container the items give: at most one each."""
-    n = F.col(f"`{size}`")
-    return sizes.select(F.count_if((n > 0) & (n % capacity != 0))).first()[0]
+    """How many pieces the items give."""
+    n = F.col(f"`{size}`").cast("long")
+    return sizes.select(F.coalesce(F.sum(F.when(n > 0, F.floor((n - 1) / capacity) + 1)), F.lit(0))).first()[0]
 
 
-def pack(sizes: DataFrame, capacity: int, expected_items: int, key: str = "doc_id", size: str = "tokens", group_items: int = GROUP_ITEMS) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, expected_pieces: int, key: str = "doc_id", size: str = "tokens", group_items: int = GROUP_ITEMS) -> DataFrame:
     """(container_id, key, piece, first, tokens): every item in containers of at most `capacity`.
 
     Each item lies whole in one container, unless it alone is larger: then its pieces are full containers and a rest.
-    Full pieces need no search and pass by as containers of their own. expected_items sets the number of groups.
-    Equal sizes are taken in order of key and piece, so the result does not depend on the order of rows. Repeated keys
-    are items of their own; NULL keys are packed like any other. Container ids are unique, not consecutive.
+    expected_pieces sets the number of groups; a group is drawn by key, size, copy and piece, so neither a hot key nor a
+    very large item makes one group large. Equal sizes are taken in order of key, copy and piece, so the result and the
+    container ids are the same for any order of rows. Repeated keys are items of their own; NULL keys are packed like
+    any other. Container ids are unique, not consecutive.
     """
     ship(sizes.sparkSession)
-    groups = max(1, -(-expected_items // group_items))
+    groups = max(1, -(-expected_pieces // group_items))
     cut = pieces(sizes, capacity, key, size)
     kind = cut.schema[key].dataType.simpleString()
-    full, part = cut.filter(F.col("tokens") == capacity), cut.filter(F.col("tokens") < capacity)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["tokens", "k", "piece"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["tokens", "k", "copy", "piece"], ascending=[False, True, True, True], kind="stable")
         placed, _ = best_fit(rows["tokens"].tolist(), capacity)
         return rows.assign(container_id=[int(rows["g"].iloc[0]) << 40 | c for c in placed])[["container_id", "k", "piece", "first", "tokens"]]
 
-    grouped = part.select(F.col(key).alias("k"), "piece", "first", "tokens", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(groups)).alias("g")).groupBy("g")
-    packed = grouped.applyInPandas(run, f"container_id bigint, k {kind}, piece int, first bigint, tokens int").withColumnRenamed("k", key)
-    # Bit 62 keeps the ids of full containers apart from all others.
-    own = F.monotonically_increasing_id().bitwiseOR(F.lit(1 << 62))
-    return packed.unionByName(full.select(own.alias("container_id"), key, "piece", "first", "tokens"))
+    group = F.pmod(F.xxhash64(key, "copy", "piece", "tokens", F.lit(7)), F.lit(groups)).alias("g")
+    grouped = cut.select(F.col(key).alias("k"), "copy", "piece", "first", "tokens", group).groupBy("g")
+    return grouped.applyInPandas(run, f"container_id bigint, k {kind}, piece int, first bigint, tokens int").withColumnRenamed("k", key)

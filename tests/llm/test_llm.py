@@ -137,6 +137,19 @@ def test_packing_loses_nothing_and_cuts_only_what_is_too_large(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, tokens int"), 100, 0).count() == 0
 
 
+def test_repeated_keys_spread_and_ids_do_not_depend_on_row_order(spark):
+    rows = [(None, 7)] * 2000 + [(1, 7)] * 500 + [(2, 950)] * 3 + [(3, 100_000)]
+    counts = spark.createDataFrame(rows, "doc_id bigint, tokens int")
+    expected = packing.piece_count(counts, 100)
+    assert expected == 2000 + 500 + 30 + 1000
+    packed = packing.pack(counts, 100, expected, group_items=200)
+    sizes = packed.groupBy(F.shiftright("container_id", 40).alias("g")).count().collect()
+    assert len(sizes) == 18 and max(r["count"] for r in sizes) < 300
+    again = packing.pack(spark.createDataFrame(rows[::-1], counts.schema).repartition(7), 100, expected, group_items=200)
+    assert rows_of(packed) == rows_of(again)
+    assert packed.groupBy("container_id").agg(F.sum("tokens").alias("n")).agg(F.max("n")).first()[0] == 100
+
+
 def test_a_third_of_all_rows_of_one_size(spark):
     sizes = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 700).otherwise(F.col("id") % 500 + 1).cast("int").alias("tokens"))
     packed = packing.pack(sizes, 2048, 9000, group_items=1000).groupBy("container_id").agg(F.sum("tokens").alias("n"))
