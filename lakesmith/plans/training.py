@@ -21,16 +21,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return _changes(spark, folder).select(F.col("file").alias("source_file"), "field", "change")
 
 
-def _aliases(spark: SparkSession, folder: str, paths: list[str]) -> dict[str, str]:
+def _aliases(spark: SparkSession, folder: str, paths: list[str]) -> list[tuple[str, str, str]]:
     return drift.field_aliases(_changes(spark, folder), paths)
 
 
 def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
     """All records in one table with the fields of the catalogue."""
-    rows = table(spark, folder, "field_catalog").select("field_path", "json_type").distinct().orderBy("field_path", "json_type").collect()
-    catalog = [(r["field_path"], r["json_type"]) for r in rows]
-    aliases = _aliases(spark, folder, [path for path, _ in catalog])
-    return drift.unify(table(spark, folder, "bronze_events"), catalog, aliases)
+    rows = table(spark, folder, "field_catalog").select("event_type", "field_path", "json_type").distinct().orderBy("field_path", "json_type").collect()
+    kinds: dict[str, set[str]] = {}
+    for r in rows:
+        kinds.setdefault(r["field_path"], set()).add(r["event_type"].lower())
+    catalog = sorted({(r["field_path"], r["json_type"]) for r in rows})
+    return drift.unify(table(spark, folder, "bronze_events"), catalog, _aliases(spark, folder, sorted(kinds)), kinds=kinds)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,7 +122,7 @@ def p7_unified(spark: SparkSession, folder: str) -> DataFrame:
     """The event table after all changes, each field under all names that it had."""
     names = [r["field_path"] for r in table(spark, folder, "field_catalog").select("field_path").distinct().collect()]
     aliases = _aliases(spark, folder, sorted({*names, *changefeed.FIELDS}))
-    own = {f: tuple(sorted(a for a, to in aliases.items() if to == f)) for f in changefeed.FIELDS}
+    own = {f: tuple(sorted({name for _, name, to in aliases if to == f})) for f in changefeed.FIELDS}
     return _live(changefeed.current_state(table(spark, folder, "bronze_events"), aliases=own))
 
 

@@ -77,7 +77,7 @@ def test_empty_tables_give_empty_results(table):
     gold = table("event_date date, customer_id string, event_type string, event_count bigint", [])
     for df in (
         changefeed.current_state(nothing), counters.right_counts(nothing), counters.corrections(gold, counters.right_counts(nothing)), dedup.single_copies(nothing, dedup.accepted(dedup.resolve(nothing))), dedup.repeated(dedup.resolve(nothing)), dedup.resolve(nothing).ranges, history.history(lines),
-        orphans.orphans(nothing, versions), knowntime.as_known(nothing, versions), drift.field_changes(drift.field_statistics(nothing)), drift.unify(nothing, [("event_id", "string")], {}),
+        orphans.orphans(nothing, versions), knowntime.as_known(nothing, versions), drift.field_changes(drift.field_statistics(nothing)), drift.unify(nothing, [("event_id", "string")], []),
     ):
         assert df.count() == 0
 
@@ -381,10 +381,25 @@ def test_unrelated_fields_are_no_rename(table):
 def test_unify_casts_and_reports_what_cannot_be_cast(table):
     rows = [payload(1, 0, '{"via": {"id": "mail"}, "properties": {"rows": "12", "ok": "no idea"}}'), payload(1, 0, '{"channel": ["chat"], "properties": "{\\"rows\\": 3, \\"ok\\": true}"}'), payload(1, 0, "broken")]
     catalog = [("channel", "string"), ("properties.rows", "number"), ("properties.ok", "boolean")]
-    out = drift.unify(table(EVENTS, rows), catalog, {"via": "channel"})
+    out = drift.unify(table(EVENTS, rows), catalog, [("part-000.json.gz", "via", "channel")])
     assert rows_of(out, "is_valid", "channel", "properties_rows", "properties_ok", "failed_casts") == [(False, None, None, None, []), (True, "chat", 3.0, True, []), (True, "mail", 12.0, None, ["properties.ok"])]
 
 
-def test_aliases_follow_chains_of_renames(spark):
-    changes = spark.createDataFrame([("renamed", "channel", "via"), ("renamed", "via", "contact"), ("renamed", "sid", "session_id"), ("added", "x", None)], "change string, field string, new_field string")
-    assert drift.field_aliases(changes, ["channel", "session_id"]) == {"via": "channel", "contact": "channel", "sid": "session_id"}
+def test_an_alias_holds_in_its_stream_and_for_the_kinds_that_have_the_field(table):
+    rows = [payload(1, part, f'{{"via": "mail", "event_type": "{kind}"}}') for part, kind in ((0, "login"), (0, "export"), (1, "login"))] + [payload(1, 0, '{"via": "none"}')]
+    out = drift.unify(table(EVENTS, rows), [("channel", "string"), ("event_type", "string")], [("part-000.json.gz", "via", "channel")], kinds={"channel": {"login"}})
+    assert rows_of(out, "event_type", "channel") == [("export", None), ("login", "mail"), ("login", None), (None, "none")]
+    for catalog in ([("a.b", "string"), ("a_b", "string")], [("a", "string"), ("a", "number")]):
+        with pytest.raises(ValueError):
+            drift.unify(table(EVENTS, rows), catalog, [])
+
+
+def test_aliases_follow_chains_of_renames_within_their_stream(spark):
+    changes = spark.createDataFrame([("d/s", "renamed", "channel", "via"), ("e/s", "renamed", "via", "contact"), ("d/t", "renamed", "sid", "session_id"), ("d/t", "added", "x", None), ("d/u", "renamed", "other", "via")], "file string, change string, field string, new_field string")
+    assert drift.field_aliases(changes, ["channel", "session_id"]) == [("s", "contact", "channel"), ("s", "via", "channel"), ("t", "sid", "session_id")]
+
+
+def test_values_of_any_length_carry_a_rename(table):
+    long = [f"{'word ' * 30}{i % 7}x{chr(97 + i % 5)}" for i in range(40)]
+    rows = [payload(1, 0, f'{{"event_type": "login", "note": "{v}"}}') for v in long] + [payload(2, 0, f'{{"event_type": "login", "remark": "{v}", "other": "{v[::-1]}"}}') for v in long]
+    assert rows_of(drift.field_changes(drift.field_statistics(table(EVENTS, rows))), "field", "change", "new_field") == [("note", "renamed", "remark"), ("other", "added", None)]
