@@ -90,6 +90,36 @@ def versions_of(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.filter(canonical_id(key) == canonical_id(F.lit(value))).orderBy("updated_at", "_ingested_at")
 
 
+def page_after(rows: DataFrame, order: tuple[str, ...], last: tuple, size: int) -> DataFrame:
+    """The next `size` rows in an order behind the row whose values are `last`, NULL being smallest; no depth is sorted through.
+
+    The bound on the first column alone is a filter that the scan can use.
+    """
+    first, *rest = order
+    behind = F.lit(False)
+    for i in reversed(range(len(order))):
+        c, v = F.col(order[i]), F.lit(last[i])
+        behind = (c > v) | ((c == v) & behind)
+    return rows.filter((F.col(first) >= F.lit(last[0])) & behind).orderBy(*(F.asc_nulls_first(c) for c in (first, *rest))).limit(size)
+
+
+def public_fields(rows: DataFrame) -> DataFrame:
+    """The rows without the columns whose names begin with an underscore, which are nobody's business outside."""
+    return rows.select(*(F.col(f"`{c}`") for c in rows.columns if not c.startswith("_")))
+
+
+def reconciled(source: DataFrame, target: DataFrame, key: str, compared: tuple[str, ...]) -> DataFrame:
+    """(key, in_source, in_target, differing): the keys that two catalogues do not agree on, and the columns in which they differ.
+
+    Both sides hold a key once. NULL equals NULL; keys that are NULL are left out.
+    """
+    side = lambda df, name: df.filter(F.col(key).isNotNull()).select(F.col(key), F.struct(*compared).alias(name))
+    both = side(source, "s").join(side(target, "t"), key, "full_outer")
+    differing = F.array_compact(F.array(*(F.when(~F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")), c) for c in compared)))
+    there = F.col("s").isNotNull() & F.col("t").isNotNull()
+    return both.select(key, F.col("s").isNotNull().alias("in_source"), F.col("t").isNotNull().alias("in_target"), F.when(there, F.array_join(differing, ",")).alias("differing")).filter("not in_source or not in_target or differing <> ''")
+
+
 def properties_schema(events: DataFrame) -> DataFrame:
     """(event_type, property, json_type, n): which properties the events of each type carry, and as what.
 

@@ -56,13 +56,18 @@ def volume_history(rows: DataFrame, table_name: str, at: str) -> DataFrame:
     return days.select(F.lit(table_name).alias("table_name"), "metric_date", "record_count")
 
 
-def volumetry(volumes: DataFrame, table_name: str) -> DataFrame:
-    """Warning. The newest day against the mean of the recorded days of the week before it; passed without a base."""
+def _volumes(volumes: DataFrame, table_name: str) -> tuple[DataFrame, Column, Column]:
+    """One row with the newest day's rows (`checked`), the mean of the recorded days of the week before it, and the change; NULL without a base."""
     own = volumes.filter(F.col("table_name") == table_name)
     newest = own.agg(F.max("metric_date").alias("d")).select("d").scalar()
     in_week = (F.col("metric_date") >= F.date_sub(newest, VOLUME_DAYS)) & (F.col("metric_date") < newest)
     one = own.agg(F.coalesce(F.max(F.when(F.col("metric_date") == newest, F.col("record_count"))), F.lit(0)).alias("checked"), F.avg(F.when(in_week, F.col("record_count"))).alias("base"))
-    change = F.when(F.col("base") > 0, (F.col("checked") - F.col("base")) / F.col("base"))
+    return one, F.col("base"), F.when(F.col("base") > 0, (F.col("checked") - F.col("base")) / F.col("base"))
+
+
+def volumetry(volumes: DataFrame, table_name: str) -> DataFrame:
+    """Warning. The newest day against the mean of the recorded days of the week before it; passed without a base."""
+    one, _, change = _volumes(volumes, table_name)
     warned = one.withColumn("warn", F.coalesce((change <= VOLUME_DROP) | (change >= VOLUME_RISE), F.lit(False)))
     counted = warned.withColumn("failed", F.when(F.col("warn"), F.col("checked")).otherwise(F.lit(0)))
     return _result(counted, "CHECK_VOLUMETRY", F.lit("warning"), F.when(F.col("warn"), "warning").otherwise("passed"), table_name)
@@ -104,6 +109,46 @@ def samples(rows: DataFrame, key: tuple[str, ...], n: int = 10) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(*key).limit(n)
 
 
+DETAIL = ("check_name", "table_name", "item", "key", "number")
+
+
+def details(events: DataFrame, customers: DataFrame, reference: Column, volumes: DataFrame | None = None, n: int = 10) -> DataFrame:
+    """(check_name, table_name, item, key, number): what lies behind the results, in one plan.
+
+    * uniqueness: the first n repeated keys in order, and how often each is there
+    * referential integrity: the n most frequent unknown references (of equally frequent ones the first), and both limits
+    * volumetry: the newest day's rows, the mean of the week before it, and the change, NULL without a base
+    * domain values: the n most frequent invalid values
+    * freshness: the age of the newest row in hours and the limit
+    """
+    if volumes is None:
+        volumes = volume_history(events, "silver.events", "occurred_at")
+
+    def made(df: DataFrame, check: str, table: str, item: str | Column, key: Column, number: Column) -> DataFrame:
+        return df.select(F.lit(check).alias("check_name"), F.lit(table).alias("table_name"), (F.lit(item) if isinstance(item, str) else item).alias("item"), key.cast("string").alias("key"), number.cast("double").alias("number"))
+
+    def frequent(df: DataFrame, column: str) -> DataFrame:
+        return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(n)
+
+    def facts(df: DataFrame, check: str, table: str, **numbers: Column) -> DataFrame:
+        pairs = F.explode(F.array(*(F.struct(F.lit(item).alias("item"), c.cast("double").alias("n")) for item, c in numbers.items())))
+        return made(df.select(pairs.alias("x")), check, table, F.col("x.item"), F.lit(None), F.col("x.n"))
+
+    parts = [made(samples(rows, key, n), "CHECK_UNIQUENESS", table, "repeated", F.concat_ws("|", *key), F.col("n")) for rows, key, table in ((events, ("event_id",), "silver.events"), (customers, ("customer_id", "valid_from"), "silver.customers"))]
+    parents = customers.select(F.col("customer_id").alias("__p")).distinct()
+    unknown = events.filter("customer_id is not null").groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).join(parents, F.col("customer_id") == F.col("__p"), "left_anti").orderBy(F.desc("n"), "customer_id").limit(n)
+    parts.append(made(unknown, "CHECK_REFERENTIAL_INTEGRITY", "silver.events", "unknown", F.col("customer_id"), F.col("n")))
+    one = events.sparkSession.range(1)
+    parts.append(facts(one, "CHECK_REFERENTIAL_INTEGRITY", "silver.events", warn_above=F.lit(ORPHANS_WARN), fail_above=F.lit(ORPHANS_FAIL)))
+    newest, base, change = _volumes(volumes, "silver.events")
+    parts.append(facts(newest, "CHECK_VOLUMETRY", "silver.events", newest=F.col("checked"), base=base, change=change))
+    for rows, column, allowed, table in ((events, "event_type", EVENT_TYPES, "silver.events"), (customers, "plan", PLANS, "silver.customers")):
+        parts.append(made(frequent(rows.filter(~F.col(column).isin(*allowed)), column), "CHECK_DOMAIN_VALUES", table, "invalid", F.col(column), F.col("n")))
+    age = (F.unix_micros(reference) - F.unix_micros("newest")) / F.lit(3_600_000_000)
+    parts.append(facts(events.agg(F.max("occurred_at").alias("newest")), "CHECK_FRESHNESS", "silver.events", age_hours=age, limit_hours=F.lit(FRESH_HOURS)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def report(events: DataFrame, customers: DataFrame, reference: Column, volumes: DataFrame | None = None) -> DataFrame:
     """The seven results of a run, in one plan. `volumes` is the recorded history; without one it is rebuilt from the events."""
     if volumes is None:

@@ -19,6 +19,8 @@ REFERENCE = "2026-05-13 00:00:00"
 SINCE, UNTIL = "2026-03-20 00:00:00", "2026-04-20 00:00:00"
 #: The page that is read, its size and how much it repeats of the one before.
 PAGE, PAGE_SIZE, OVERLAP = 3, 500, 2
+#: An event to look up, in a spelling that is not the stored one, and the month from which activity is counted again.
+LOOKED_UP, MONTH = " E_00000001\n", "2026-04-01 00:00:00"
 #: The day from which raw files count as newly arrived.
 ARRIVED = "ingestion_date=2026-04"
 
@@ -51,9 +53,9 @@ def _summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _incoming(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest bronze row of each event in the columns of silver."""
-    newest = medallion.latest(_bronze(spark, folder).filter("event_type is not null"), "event_id")
-    return medallion.normalized_events(newest, F.lit(REFERENCE).cast("timestamp")).withColumn("customer_id", canonical_id("customer_id"))
+    """The newest change of each event in the columns of silver, and whether it deletes (`gone`)."""
+    newest = medallion.newest_changes(_bronze(spark, folder))
+    return medallion.normalized_events(newest, F.lit(REFERENCE).cast("timestamp"), "gone").withColumn("customer_id", canonical_id("customer_id"))
 
 
 def _newest_customers(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,6 +106,54 @@ def page_with_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return ordered.offset(start).limit(PAGE * PAGE_SIZE - start)
 
 
+@query
+def page_after_key(spark: SparkSession, folder: str) -> DataFrame:
+    """The changes that follow a known one in the order of the change log, without going through those before it."""
+    log = _bronze(spark, folder).select("event_id", "updated_at", F.md5("_raw_payload").alias("line")).filter("updated_at is not null")
+    last = (F.lit(SINCE).cast("timestamp"), F.lit("e_0"), F.lit(""))
+    return medallion.page_after(log, ("updated_at", "event_id", "line"), last, PAGE_SIZE).select("event_id", *_us("updated_at"), "line")
+
+
+@query
+def point_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """All stored versions of one event, whatever its spelling."""
+    return medallion.versions_of(_bronze(spark, folder), "event_id", LOOKED_UP).select("event_id", *_us("updated_at", "_ingested_at"), F.md5("_raw_payload").alias("line"))
+
+
+@query
+def public_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Bronze events as the outside may see them."""
+    rows = medallion.public_fields(_bronze(spark, folder))
+    return rows.select(*(micros(c).alias(f"{c}_us") if c in ("occurred_at", "updated_at") else F.col(c) for c in rows.columns))
+
+
+@query
+def watermarks(spark: SparkSession, folder: str) -> DataFrame:
+    """How far each source has been read: its greatest time of change."""
+    newest = lambda name: table(spark, folder, f"bronze_{name}").agg(F.max(micros("updated_at")).alias("watermark_us")).select(F.lit(name).alias("source"), "watermark_us")
+    return newest("events").unionByName(newest("customers"))
+
+
+@query
+def source_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and batches of both sources together, added up from the summaries of their batches."""
+    parts = [table(spark, folder, f"bronze_{name}").groupBy("_batch_id").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("batches")) for name in ("events", "customers")]
+    return parts[0].unionByName(parts[1]).agg(F.sum("records").alias("records"), F.sum("batches").alias("batches"))
+
+
+@query
+def literal_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The checks and their severities as a table of literal rows."""
+    return spark.sql("SELECT * FROM VALUES ('CHECK_UNIQUENESS', 'critical'), ('CHECK_REFERENTIAL_INTEGRITY', CAST(NULL AS STRING)), ('CHECK_VOLUMETRY', 'warning'), ('CHECK_DOMAIN_VALUES', 'critical'), ('CHECK_FRESHNESS', 'warning') AS t(check_name, severity)")
+
+
+@query
+def reconcile_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers on whom the newest CRM lines and the current dimension do not agree."""
+    current = medallion.latest(_customers(spark, folder).filter("is_current").select("customer_id", "valid_from", "plan", "segment", "country", "is_active"), "customer_id", ("valid_from",))
+    return medallion.reconciled(_newest_customers(spark, folder), current, "customer_id", ("plan", "segment", "country", "is_active"))
+
+
 @query
 def raw_line_set_merge(spark: SparkSession, folder: str) -> DataFrame:
     """The set of raw lines after the newly arrived files are merged into the existing ones."""
@@ -128,14 +178,14 @@ def bronze_customer_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def dedup_latest(spark: SparkSession, folder: str) -> DataFrame:
     """The newest change of every event."""
-    newest = medallion.latest(_bronze(spark, folder), "event_id")
+    newest = medallion.latest(_bronze(spark, folder).select("event_id", "updated_at", "_ingested_at", "_batch_id"), "event_id")
     return newest.select("event_id", *_us("updated_at", "_ingested_at"), F.col("_batch_id").alias("batch_id"))
 
 
 @query
 def normalize_flags(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest full record of every event in the columns of silver."""
-    return _incoming(spark, folder).select("event_id", "customer_id", "has_customer_id", "event_type", *_us("updated_at"), "properties_valid_json")
+    """The newest record of every event that is not deleted, in the columns of silver."""
+    return _incoming(spark, folder).filter("not gone").select("event_id", "customer_id", "has_customer_id", "event_type", *_us("updated_at"), "properties_valid_json")
 
 
 @query
@@ -156,8 +206,8 @@ def customer_monthly_activity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def merge_latest_wins(spark: SparkSession, folder: str) -> DataFrame:
-    """Silver after newer bronze rows have replaced older silver rows of the same event."""
-    merged = merge.merge(_silver(spark, folder), _incoming(spark, folder), ("event_id",), when=F.col("s.updated_at") > F.col("t.updated_at"))
+    """Silver after newer bronze rows have replaced older silver rows of the same event, and deletes have removed them."""
+    merged = merge.merge(_silver(spark, folder), _incoming(spark, folder), ("event_id",), when=F.col("s.updated_at") > F.col("t.updated_at"), remove=F.col("s.gone"))
     return merged.select("event_id", "customer_id", "event_type", *_us("updated_at"))
 
 
@@ -179,6 +229,31 @@ def merge_rebuild(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("event_date", "customer_id", "event_type", "event_count")
 
 
+@query
+def merge_ticket_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The ticket events of an earlier state of silver after those of the present one are merged into them, whatever their times."""
+    events = _silver(spark, folder)
+    earlier = medallion.ticket_events(events.filter(F.col("updated_at") < F.lit(SINCE).cast("timestamp")).withColumn("channel", F.lit("stale")))
+    return merge.merge(earlier, medallion.ticket_events(events), ("event_id",)).select("event_id", "customer_id", "ticket_id", "event_type", *_us("occurred_at"), "agent_id", "channel")
+
+
+@query
+def merge_monthly_activity(spark: SparkSession, folder: str) -> DataFrame:
+    """The monthly activity of an earlier state of silver after that of later months is merged into it."""
+    events, customers = _silver(spark, folder), _customers(spark, folder)
+    until, since = (F.col("occurred_at") < F.lit(UNTIL).cast("timestamp")), (F.col("occurred_at") >= F.lit(MONTH).cast("timestamp"))
+    return merge.merge(medallion.monthly_activity(events.filter(until), customers), medallion.monthly_activity(events.filter(since), customers), ("activity_month", "customer_id"))
+
+
+@query
+def merge_volume_history(spark: SparkSession, folder: str) -> DataFrame:
+    """The volume history recorded earlier after a new count of the days since; days counted again are replaced."""
+    events = _silver(spark, folder)
+    recorded = quality.volume_history(events.filter(F.col("updated_at") < F.lit(UNTIL).cast("timestamp")), "silver.events", "occurred_at")
+    counted = quality.volume_history(events.filter(F.col("occurred_at") >= F.lit(SINCE).cast("timestamp")), "silver.events", "occurred_at")
+    return merge.merge(recorded, counted, ("table_name", "metric_date"))
+
+
 @query
 def merge_insert_only(spark: SparkSession, folder: str) -> DataFrame:
     """Current customers, and those of the CRM that are missing among them."""
@@ -259,6 +334,8 @@ _check("check_referential_integrity", lambda e, c: quality.referential_integrity
 _check("check_volumetry", lambda e, c: quality.volumetry(quality.volume_history(e, "silver.events", "occurred_at"), "silver.events"))
 _check("check_domain_values", lambda e, c: quality.domain_values(e, "event_type", medallion.EVENT_TYPES, "silver.events").unionByName(quality.domain_values(c, "plan", medallion.PLANS, "silver.customers")))
 _check("check_freshness", lambda e, c: quality.freshness(e, _reference()))
+_check("check_ticket_uniqueness", lambda e, c: quality.uniqueness(medallion.ticket_events(e).filter("event_type = 'ticket_opened' and ticket_id is not null"), ("ticket_id",), "gold.ticket_events"))
+_check("check_details", lambda e, c: quality.details(e, c, _reference()))
 _check("quality_report", lambda e, c: quality.report(e, c, _reference()))
 
 

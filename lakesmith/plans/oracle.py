@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lakesmith.operators.medallion import EVENT_TYPES, PLANS
-from lakesmith.plans.medallion import ARRIVED, OVERLAP, PAGE, PAGE_SIZE, REFERENCE, SINCE, UNTIL
+from lakesmith.plans.medallion import ARRIVED, LOOKED_UP, MONTH, OVERLAP, PAGE, PAGE_SIZE, REFERENCE, SINCE, UNTIL
 
 
 def _id(c: str) -> str:
@@ -33,17 +33,20 @@ _SILVER = f"""silver AS (
 _DIM = f"""dim AS (
   SELECT {_id("customer_id")} AS customer_id, company_name, plan, segment, signup_date, country, is_active, epoch_us(updated_at) AS updated_us, epoch_us(valid_from) AS from_us, epoch_us(valid_to) AS to_us, is_current, _record_version
   FROM silver_customers)"""
+_DELETE = (
+    "CASE WHEN json_valid(_raw_payload) THEN coalesce(lower(json_extract_string(_raw_payload, '$.op')) IN ('d', 'delete'), false) OR coalesce(lower(json_extract_string(_raw_payload, '$.is_deleted')) = 'true', false) ELSE false END"
+)
 _NEWEST = f"""ranked AS (
   SELECT *, {_id("event_id")} AS k, row_number() OVER (PARTITION BY {_id("event_id")} ORDER BY updated_at DESC NULLS LAST, _ingested_at DESC NULLS LAST, _batch_id DESC NULLS LAST, customer_id DESC NULLS LAST,
-    event_type DESC NULLS LAST, occurred_at DESC NULLS LAST, channel DESC NULLS LAST, properties DESC NULLS LAST) AS rn
+    event_type DESC NULLS LAST, occurred_at DESC NULLS LAST, channel DESC NULLS LAST, properties DESC NULLS LAST, {_DELETE} DESC) AS rn, {_DELETE} AS gone
   FROM bronze_events {{where}}),
 newest AS (SELECT * FROM ranked WHERE rn = 1 AND k IS NOT NULL)"""
 _INCOMING = (
-    _NEWEST.format(where="WHERE event_type IS NOT NULL")
+    _NEWEST.format(where="")
     + f""",
 incoming AS (
   SELECT k AS event_id, {_id("customer_id")} AS customer_id, customer_id IS NOT NULL AS has_customer_id, lower(event_type) AS event_type, epoch_us(updated_at) AS updated_us,
-    properties IS NULL OR json_valid(properties) AS properties_valid_json
+    properties IS NULL OR json_valid(properties) AS properties_valid_json, gone
   FROM newest)"""
 )
 _CRM = f"""crm AS (
@@ -110,21 +113,41 @@ SQL: dict[str, str] = {
     "incremental_since": f"SELECT event_id, epoch_us(updated_at) AS updated_at_us, _batch_id AS batch_id FROM bronze_events WHERE epoch_us(updated_at) >= {_us(SINCE)} AND epoch_us(updated_at) < {_us(UNTIL)}",
     "page_with_overlap": f"SELECT event_id, epoch_us(updated_at) AS updated_at_us, epoch_us(_ingested_at) AS ingested_at_us, md5(_raw_payload) AS line FROM bronze_events "
     f"ORDER BY 2 NULLS FIRST, 1 NULLS FIRST, 3 NULLS FIRST, 4 NULLS FIRST LIMIT {PAGE * PAGE_SIZE - _START} OFFSET {_START}",
+    "page_after_key": f"""SELECT event_id, epoch_us(updated_at) AS updated_at_us, md5(_raw_payload) AS line FROM bronze_events
+      WHERE epoch_us(updated_at) > {_us(SINCE)} OR (epoch_us(updated_at) = {_us(SINCE)} AND (event_id > 'e_0' OR (event_id = 'e_0' AND md5(_raw_payload) > ''))) ORDER BY 2, 1 NULLS FIRST, 3 LIMIT {PAGE_SIZE}""",
+    "point_lookup": f"SELECT event_id, epoch_us(updated_at) AS updated_at_us, epoch_us(_ingested_at) AS ingested_at_us, md5(_raw_payload) AS line FROM bronze_events WHERE {_id('event_id')} = '{LOOKED_UP.strip().lower()}'",
+    "public_fields": "SELECT event_id, customer_id, event_type, epoch_us(occurred_at) AS occurred_at_us, epoch_us(updated_at) AS updated_at_us, channel, properties FROM bronze_events",
+    "watermarks": "SELECT 'events' AS source, max(epoch_us(updated_at)) AS watermark_us FROM bronze_events UNION ALL SELECT 'customers', max(epoch_us(updated_at)) FROM bronze_customers",
+    "source_totals": "SELECT CAST((SELECT count(*) FROM bronze_events) + (SELECT count(*) FROM bronze_customers) AS BIGINT) AS records, CAST((SELECT count(*) FROM (SELECT DISTINCT _batch_id FROM bronze_events)) + (SELECT count(*) FROM (SELECT DISTINCT _batch_id FROM bronze_customers)) AS BIGINT) AS batches",
+    "literal_rows": "SELECT * FROM (VALUES ('CHECK_UNIQUENESS', 'critical'), ('CHECK_REFERENTIAL_INTEGRITY', NULL), ('CHECK_VOLUMETRY', 'warning'), ('CHECK_DOMAIN_VALUES', 'critical'), ('CHECK_FRESHNESS', 'warning')) AS t(check_name, severity)",
+    "reconcile_customers": f"""WITH {_DIM}, {_CRM}, cur AS (SELECT * FROM dim WHERE is_current AND customer_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY from_us DESC NULLS LAST) = 1),
+      j AS (SELECT coalesce(c.customer_id, d.customer_id) AS customer_id, c.customer_id IS NOT NULL AS in_source, d.customer_id IS NOT NULL AS in_target,
+        concat_ws(',', CASE WHEN c.plan IS DISTINCT FROM d.plan THEN 'plan' END, CASE WHEN c.segment IS DISTINCT FROM d.segment THEN 'segment' END, CASE WHEN c.country IS DISTINCT FROM d.country THEN 'country' END, CASE WHEN c.is_active IS DISTINCT FROM d.is_active THEN 'is_active' END) AS x
+        FROM crm c FULL JOIN cur d ON c.customer_id = d.customer_id)
+      SELECT customer_id, in_source, in_target, CASE WHEN in_source AND in_target THEN x END AS differing FROM j WHERE NOT in_source OR NOT in_target OR x <> ''""",
     "raw_line_set_merge": f"SELECT DISTINCT md5(_raw_payload) AS line FROM bronze_events WHERE _source_file IS NOT NULL AND contains(_source_file, '{ARRIVED}') IN (true, false)",
     "source_state": "SELECT _batch_id AS batch_id, count(*) AS visible, min(epoch_us(updated_at)) AS first_us, max(epoch_us(updated_at)) AS last_us FROM bronze_events GROUP BY _batch_id",
     "bronze_customer_lines": "SELECT md5(_raw_payload) AS line, j->>'$.customer_id' AS customer_id, j->>'$.plan' AS plan, j->>'$.segment' AS segment, try_cast(j->>'$.signup_date' AS DATE) AS signup_date, j->>'$.country' AS country, "
     f"try_cast(j->>'$.is_active' AS BOOLEAN) AS is_active, {_INSTANT.format('(j->>$$$.updated_at$$)')} AS updated_at_us FROM (SELECT _raw_payload, CAST({_WHOLE} AS JSON) AS j FROM bronze_customers)",
     "dedup_latest": f"WITH {_NEWEST.format(where='')} SELECT k AS event_id, epoch_us(updated_at) AS updated_at_us, epoch_us(_ingested_at) AS ingested_at_us, _batch_id AS batch_id FROM newest",
-    "normalize_flags": f"WITH {_INCOMING} SELECT event_id, customer_id, has_customer_id, event_type, updated_us AS updated_at_us, properties_valid_json FROM incoming",
+    "normalize_flags": f"WITH {_INCOMING} SELECT event_id, customer_id, has_customer_id, event_type, updated_us AS updated_at_us, properties_valid_json FROM incoming WHERE NOT gone",
     "events_daily_summary": f"WITH {_SILVER}, {_SUMMARY} SELECT * FROM fresh",
     "ticket_events": f"WITH {_SILVER}, {_TICKETS} SELECT event_id, customer_id, ticket_id, event_type, occurred_us AS occurred_at_us, agent_id FROM tickets",
     "customer_monthly_activity": f"WITH {_SILVER}, {_DIM}, {_ACTIVITY} SELECT * FROM activity",
     "merge_latest_wins": f"""WITH {_SILVER}, {_INCOMING}
       SELECT coalesce(t.event_id, s.event_id) AS event_id, CASE WHEN n THEN s.customer_id ELSE t.customer_id END AS customer_id, CASE WHEN n THEN s.event_type ELSE t.event_type END AS event_type, CASE WHEN n THEN s.updated_us ELSE t.updated_us END AS updated_at_us
-      FROM (SELECT *, 1 AS it FROM silver) t FULL JOIN (SELECT *, 1 AS i FROM incoming) s ON t.event_id = s.event_id, LATERAL (SELECT it IS NULL OR coalesce(s.updated_us > t.updated_us, false) AS n)""",
+      FROM (SELECT *, 1 AS it FROM silver) t FULL JOIN (SELECT *, 1 AS i FROM incoming) s ON t.event_id = s.event_id, LATERAL (SELECT it IS NULL OR coalesce(s.updated_us > t.updated_us, false) AS n)
+      WHERE NOT (n AND coalesce(gone, false))""",
     "merge_null_safe": f"""WITH {_SILVER}, {_SUMMARY} SELECT event_date, customer_id, event_type, event_count FROM fresh
       UNION ALL SELECT event_date, customer_id, event_type, event_count FROM gold_events_daily_summary g WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE {_SAME_KEY})""",
     "merge_rebuild": f"WITH {_SILVER}, {_SUMMARY} SELECT event_date, customer_id, event_type, event_count FROM fresh",
+    "merge_ticket_events": f"WITH {_SILVER}, {_TICKETS.replace('agent_id' + chr(10), 'agent_id, channel' + chr(10))} SELECT event_id, customer_id, ticket_id, event_type, occurred_us AS occurred_at_us, agent_id, channel FROM tickets",
+    "merge_monthly_activity": f"""WITH {_SILVER}, {_DIM}, {_ACTIVITY}, old AS (SELECT {_month(_day("occurred_us"))} AS activity_month, customer_id, count(*) AS n FROM silver WHERE customer_id IS NOT NULL AND occurred_us < {_us(UNTIL)} GROUP BY ALL)
+      SELECT a.activity_month, a.customer_id, true AS has_activity, CASE WHEN a.activity_month >= DATE '{MONTH[:10]}' THEN a.event_count ELSE n END AS event_count, signup_month FROM activity a
+      LEFT JOIN old o ON o.activity_month = a.activity_month AND o.customer_id = a.customer_id WHERE a.activity_month >= DATE '{MONTH[:10]}' OR n IS NOT NULL""",
+    "merge_volume_history": f"""WITH {_SILVER}, old AS (SELECT {_day("occurred_us")} AS d, count(*) AS n FROM silver WHERE occurred_us IS NOT NULL AND updated_us < {_us(UNTIL)} GROUP BY ALL),
+      new AS (SELECT {_day("occurred_us")} AS d, count(*) AS n FROM silver WHERE occurred_us >= {_us(SINCE)} GROUP BY ALL)
+      SELECT 'silver.events' AS table_name, d AS metric_date, coalesce(new.n, old.n) AS record_count FROM old FULL JOIN new USING (d)""",
     "merge_insert_only": f"""WITH {_DIM}, {_CRM}, cur AS (SELECT customer_id, plan, segment, country FROM dim WHERE is_current)
       SELECT * FROM cur UNION ALL SELECT customer_id, plan, segment, country FROM crm WHERE customer_id NOT IN (SELECT customer_id FROM cur)""",
     "merge_update_only": f"""WITH {_DIM}, {_CRM} SELECT d.customer_id, CASE WHEN c.updated_us > d.updated_us THEN c.plan ELSE d.plan END AS plan, d.segment, d.updated_us AS updated_at_us
@@ -166,6 +189,16 @@ SQL: dict[str, str] = {
     "check_volumetry": f"WITH {_SILVER}, {_VOLUMES} {_VOLUMETRY}",
     "check_domain_values": f"WITH {_SILVER}, {_DIM} {_DOMAINS}",
     "check_freshness": f"WITH {_SILVER} {_FRESHNESS}",
+    "check_ticket_uniqueness": f"WITH {_SILVER}, {_TICKETS}, opened AS (SELECT * FROM tickets WHERE event_type = 'ticket_opened' AND ticket_id IS NOT NULL) {_unique('gold.ticket_events', 'ticket_id', 'opened').replace(chr(39) + 'silver' + chr(39) + ' AS layer', chr(39) + 'gold' + chr(39) + ' AS layer')}",
+    "check_details": f"""WITH {_SILVER}, {_DIM}, {_VOLUMES}, d AS (SELECT max(metric_date) AS d FROM volumes),
+      v AS (SELECT coalesce(max(CASE WHEN metric_date = d THEN record_count END), 0) AS c, avg(CASE WHEN metric_date >= d - 7 AND metric_date < d THEN record_count END) AS b FROM volumes, d)
+      SELECT 'CHECK_UNIQUENESS' AS check_name, 'silver.events' AS table_name, 'repeated' AS item, event_id AS key, CAST(n AS DOUBLE) AS number FROM (SELECT event_id, count(*) AS n FROM silver GROUP BY ALL HAVING count(*) > 1 ORDER BY 1 LIMIT 10)
+      UNION ALL SELECT 'CHECK_REFERENTIAL_INTEGRITY', 'silver.events', 'unknown', customer_id, n FROM (SELECT customer_id, count(*) AS n FROM silver WHERE customer_id NOT IN (SELECT customer_id FROM dim WHERE customer_id IS NOT NULL) GROUP BY ALL ORDER BY n DESC, customer_id LIMIT 10)
+      UNION ALL VALUES ('CHECK_REFERENTIAL_INTEGRITY', 'silver.events', 'warn_above', NULL, 0.05), ('CHECK_REFERENTIAL_INTEGRITY', 'silver.events', 'fail_above', NULL, 0.20), ('CHECK_FRESHNESS', 'silver.events', 'limit_hours', NULL, 48.0)
+      UNION ALL SELECT 'CHECK_VOLUMETRY', 'silver.events', 'newest', NULL, c FROM v UNION ALL SELECT 'CHECK_VOLUMETRY', 'silver.events', 'base', NULL, b FROM v UNION ALL SELECT 'CHECK_VOLUMETRY', 'silver.events', 'change', NULL, CASE WHEN b > 0 THEN (c - b) / b END FROM v
+      UNION ALL SELECT 'CHECK_DOMAIN_VALUES', 'silver.events', 'invalid', event_type, n FROM (SELECT event_type, count(*) AS n FROM silver WHERE event_type NOT IN ({_list(EVENT_TYPES)}) GROUP BY ALL ORDER BY n DESC, event_type LIMIT 10)
+      UNION ALL SELECT 'CHECK_DOMAIN_VALUES', 'silver.customers', 'invalid', plan, n FROM (SELECT plan, count(*) AS n FROM dim WHERE plan NOT IN ({_list(PLANS)}) GROUP BY ALL ORDER BY n DESC, plan LIMIT 10)
+      UNION ALL SELECT 'CHECK_FRESHNESS', 'silver.events', 'age_hours', NULL, ({_us(REFERENCE)} - max(occurred_us)) / 3600000000.0 FROM silver""",
     "quality_report": f"WITH {_SILVER}, {_DIM}, {_VOLUMES} {_UNIQUENESS} UNION ALL {_REFERENTIAL} UNION ALL {_VOLUMETRY} UNION ALL {_DOMAINS} UNION ALL {_FRESHNESS}",
     "properties_schema": f"""WITH {_SILVER}, e AS (SELECT event_type, unnest(json_keys(CAST(properties AS JSON))) AS property, CAST(properties AS JSON) AS j FROM silver WHERE json_valid(properties) AND json_type(properties) = 'OBJECT')
       SELECT event_type, property, CASE json_type(json_extract(j, '$."' || property || '"')) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END AS json_type, count(*) AS n

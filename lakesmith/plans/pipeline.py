@@ -149,9 +149,16 @@ class Pipeline:
         incremental.merge_into(self.store, "quality.volume_history", volumes, ("table_name", "metric_date"), delete_unmatched=True)
         report = quality.report(events, customers, self._now(), self.store.read("quality.volume_history"))
         results = [r.asDict() for r in report.collect()]
+        details: dict[tuple[str, str], dict[str, Any]] = {}
+        for d in quality.details(events, customers, self._now(), self.store.read("quality.volume_history")).collect():
+            own = details.setdefault((d["check_name"], d["table_name"]), {})
+            if d["key"] is None:
+                own[d["item"]] = d["number"]
+            else:
+                own.setdefault(d["item"], {})[d["key"]] = int(d["number"])
         took = monotonic() - began
         rows = [
-            {**r, "check_id": str(uuid.uuid4()), "check_description": r["check_name"], "details": json.dumps(self._details(r, events)), "executed_at": self.reference(), "pipeline_run_id": self.run_id, "duration_seconds": took}
+            {**r, "check_id": str(uuid.uuid4()), "check_description": r["check_name"], "details": json.dumps(details.get((r["check_name"], r["table_name"]), {})), "executed_at": self.reference(), "pipeline_run_id": self.run_id, "duration_seconds": took}
             for r in results
         ]
         table = self.store.definition("quality.check_results").schema
@@ -160,11 +167,6 @@ class Pipeline:
             raise QualityGateError(f"critical checks failed: {', '.join(failed)}")
         return results
 
-    def _details(self, result: dict[str, Any], events: DataFrame) -> dict[str, Any]:
-        if result["check_name"] == "CHECK_UNIQUENESS" and result["table_name"] == "silver.events" and result["records_failed"]:
-            return {"sample": [r["event_id"] for r in quality.samples(events, ("event_id",)).collect()]}
-        return {}
-
     def gold(self, rebuild: bool = False) -> list[dict[str, Any]]:
         """The three gold tables for the months of silver that changed since they were last made; `rebuild` makes all months anew.
 

@@ -311,6 +311,9 @@ def test_a_failed_gate_stops_gold_but_keeps_its_results(spark, tmp_path):
     assert failed == ["quality"] and p.store.current("gold.ticket_events") is None
     results = [r.asDict() for r in p.store.read("quality.check_results").collect()]
     assert len(results) == 7 and "CHECK_DOMAIN_VALUES" in str(notification(results, "r"))
+    found = {(r["check_name"], r["table_name"]): json.loads(r["details"]) for r in results}
+    assert found[("CHECK_DOMAIN_VALUES", "silver.events")] == {"invalid": {"odd": 1}} and found[("CHECK_FRESHNESS", "silver.events")] == {"age_hours": 24.0, "limit_hours": 48.0}
+    assert found[("CHECK_VOLUMETRY", "silver.events")] == {"newest": 1.0, "base": None, "change": None} and found[("CHECK_REFERENTIAL_INTEGRITY", "silver.events")] == {"warn_above": 0.05, "fail_above": 0.2}
 
 
 def test_nothing_to_do_is_no_error(spark, tmp_path):
