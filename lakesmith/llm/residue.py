@@ -47,10 +47,10 @@ FUNCTION_WORDS = frozenset(
 
 PHRASE, CONTEXT, WORD = 1, 2, 4
 
-#: Notations of placeholders; a name with a colon or an equals sign before one is its label.
+#: Notations of placeholders.
 PLACEHOLDERS = re.compile(
-    r"(?:\b[\w.-]+[ \t]*[=:][ \t]*)?(?:\{\{\{?[^{}\n]*\}?\}\}|\{%[^%\n]*%\}|\$\{[^{}\n]*\}|#\{[^{}\n]*\}|\{[0-9]{1,3}\}|%%[\w .-]+%%|%\([\w .-]+\)[sd]|<%[=-]?[^%\n]*%>|\[\[[\w .:-]+\]\]|@@[\w .-]+@@|\b__[A-Z][A-Z0-9_ ]*__\b"
-    r"|<(?:your|insert|enter|add)\b[^<>\n]+>|\[(?:your|insert|enter|add)\b[^\[\]\n]+\]|\[[A-Z][A-Z0-9_. ]+\]|\{[a-z]+_[a-z_]+\}|%[A-Z_]{3,}%)"
+    r"\{\{\{?[^{}\n]*\}?\}\}|\{%[^%\n]*%\}|\$\{[^{}\n]*\}|#\{[^{}\n]*\}|\{[0-9]{1,3}\}|%%[\w .-]+%%|%\([\w .-]+\)[sd]|<%[=-]?[^%\n]*%>|\[\[[\w .:-]+\]\]|@@[\w .-]+@@|\b__[A-Z][A-Z0-9_ ]*__\b"
+    r"|<(?:your|insert|enter|add)\b[^<>\n]+>|\[(?:your|insert|enter|add)\b[^\[\]\n]+\]|\[[A-Z][A-Z0-9_. ]+\]|\{[a-z]+_[a-z_]+\}|%[A-Z_]{3,}%"
 )
 
 #: Page furniture, as whole lines.
@@ -73,8 +73,13 @@ _QUOTED = re.compile(r"`[^`\n]+`|\"[^\"\n]+\"|“[^”\n]+”|„[^“\n]+“|«
 _QUOTE_MARKS = re.compile(r"^(?: {4}|\t|> ?)|`{3,}|~{3,}", re.MULTILINE)
 #: Hexadecimal ids, names with a version and numbers with what is glued to them.
 _NEUTRAL = re.compile(r"\b(?=[a-f-]*[0-9])[0-9a-f][0-9a-f-]{5,}\b|\b[\w-]+/\d+(?:\.\d+)+\b")
+#: Some sign of each notation.
+_OPENINGS = ("{", "%", "[", "@@", "__", "<")
+#: A name with a colon or an equals sign, which before a placeholder is its label.
+_LABEL = re.compile(r"[\w.-]+[ \t]*[=:][ \t]*$")
 _APART = re.compile(r"[\W_]+")
 _LETTER = re.compile(r"[^\W\d_]")
+_DIGITS = "0123456789"
 _ONLY_WORDS = re.compile(r"[^\W\d_]+(?:[\s.,!?]+[^\W\d_]+)*[\s.,!?]*")
 
 
@@ -83,8 +88,9 @@ def _words(text: str) -> str:
     return f" {_APART.sub(' ', text.lower()).strip()} "
 
 
-def _letters(text: str) -> int:
-    return len(_LETTER.findall(text))
+def _letters(words: str) -> int:
+    """How many letters some words (as `_words` gives them) have."""
+    return len(words) - words.count(" ") - sum(map(words.count, _DIGITS))
 
 
 def _pattern(phrase: str) -> str:
@@ -119,38 +125,47 @@ def _covered(words: str, spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _share(words: str, marks: int) -> float:
-    """The share of residue in some words and `marks` signs of placeholders; a text of stand-in words counts in full."""
-    total = _letters(words)
-    if not total:
-        return 1.0 if marks else 0.0
+def _share(body: str, words: str, marks: int, beside: int = 0) -> float:
+    """The share of residue in a body, given as its words too, `marks` signs of placeholders, and `beside` letters of content; stand-in words alone count in full."""
     spans: dict[int, list[tuple[int, int]]] = {PHRASE: [], CONTEXT: [], WORD: []}
     for last, (size, kinds) in automaton().iter(words):
         for kind, own in spans.items():
             if kinds & kind:
                 own.append((last + 1 - size, last + 1))
-    core = marks + (_covered(words, spans[PHRASE]) if spans[PHRASE] else 0)
+    if not (marks or spans[PHRASE] or spans[WORD]):
+        return 0.0
+    total = _letters(words)
+    at_most = sum(stop - start for start, stop in spans[WORD] + spans[PHRASE])
+    if not (marks or spans[PHRASE]) and at_most < FILLER_COVERAGE * (total - sum(map(len, _NEUTRAL.findall(body)))):
+        return 0.0
+    total += beside - sum(_letters(_words(x)) for x in _NEUTRAL.findall(body))
+    if total <= 0:
+        return 1.0 if marks or spans[PHRASE] else 0.0
+    core = marks + _covered(words, spans[PHRASE])
     share = 0.0
     if core >= CORE * (total + marks):
         share = (marks + _covered(words, spans[PHRASE] + spans[CONTEXT])) / (total + marks)
-    if share < 1 and spans[WORD] and _covered(words, spans[WORD] + spans[PHRASE]) >= FILLER_COVERAGE * total:
+    if share < 1 and spans[WORD] and at_most >= FILLER_COVERAGE * total and _covered(words, spans[WORD] + spans[PHRASE]) >= FILLER_COVERAGE * total:
         return 1.0
     return share
 
 
 def is_meaningless(text: str) -> bool:
     """Whether a text consists of too few different letters, or of many words among which no language has a function word."""
-    letters = _LETTER.findall(text)
-    distinct = len(set(letters))
-    if any(len(letters) >= n and distinct <= most for n, most in FEW_LETTERS) and text.isascii():
+    if not text.isascii():
+        return False
+    distinct = sum(map(str.isalpha, set(text)))
+    if distinct <= max(most for _, most in FEW_LETTERS) and any(len(_LETTER.findall(text)) >= n and distinct <= most for n, most in FEW_LETTERS):
         return True
+    if _ONLY_WORDS.fullmatch(text.strip()) is None:
+        return False
     words = text.split()
-    return len(words) >= MANY_WORDS and text.isascii() and _ONLY_WORDS.fullmatch(text) is not None and FUNCTION_WORDS.isdisjoint(w.strip(".,!?") for w in words)
+    return len(words) >= MANY_WORDS and FUNCTION_WORDS.isdisjoint(w.strip(".,!?") for w in words)
 
 
 def _body(text: str) -> str:
-    """A text without tags and furniture; the frames of a stack trace become words of their own kind."""
-    lines = (line.strip() for line in _TAG.sub("\n", text).split("\n"))
+    """A text without tags (which are gone already) and furniture; the frames of a stack trace become words of their own kind."""
+    lines = (line.strip() for line in text.split("\n"))
     return "\n".join("traceback" if FRAME.match(line.lower()) else line for line in lines if line and not FURNITURE.match(line))
 
 
@@ -166,33 +181,35 @@ def coverage(text: str | None) -> float:
         return " "
 
     def marked(part: str) -> tuple[str, int]:
-        signs = 0
-
-        def count(match: re.Match) -> str:
-            nonlocal signs
-            signs += len(match.group()) - match.group().count(" ")
-            return " "
-
-        return PLACEHOLDERS.sub(count, part), signs
+        if not any(map(part.__contains__, _OPENINGS)):
+            return part, 0
+        signs, kept, reach = 0, [], 0
+        for match in PLACEHOLDERS.finditer(part):
+            start, stop = match.span()
+            label = _LABEL.search(part, max(reach, part.rfind("\n", 0, start) + 1), start)
+            start = label.start() if label else start
+            signs += stop - start - part.count(" ", start, stop)
+            kept.append(part[reach:start])
+            reach = stop
+        return " ".join([*kept, part[reach:]]), signs
 
     outside = plain = _ERROR_XML.sub(r" error code \1 ", plain)
     # Tags go before quotation marks are looked for, as their attributes stand in some.
-    outside = _TAG.sub("\n", _CODE_TAG.sub(quoted, outside))
+    if "<" in outside:
+        outside = _TAG.sub("\n", _CODE_TAG.sub(quoted, outside))
     for quotation in (_FENCE, _INDENTED, _QUOTED):
         outside = quotation.sub(quoted, outside)
     outside, marks = marked(outside)
     body = _body(outside)
-    words = _words(_NEUTRAL.sub(" ", body.lower()))
+    words = _words(body)
     if quotes and (marks or _LETTER.search(words)):
         # Quotations are content beside what is said around them.
-        own = sum(map(_letters, quotes))
-        total = _letters(words) + marks
-        return _share(words, marks) * total / (total + own)
+        return _share(body.lower(), words, marks, sum(_letters(_words(q)) for q in quotes))
     if quotes:
-        outside, marks = marked(_QUOTED.sub(lambda m: m.group()[1:-1], _QUOTE_MARKS.sub("", plain)))
+        outside, marks = marked(_QUOTED.sub(lambda m: m.group()[1:-1], _QUOTE_MARKS.sub("", _TAG.sub("\n", plain))))
         body = _body(outside)
-        words = _words(_NEUTRAL.sub(" ", body.lower()))
-    share = _share(words, marks)
+        words = _words(body)
+    share = _share(body.lower(), words, marks)
     return 1.0 if share < 1 and not marks and is_meaningless(body.lower()) else share
 
 
