@@ -15,8 +15,15 @@ def changed_since(rows: DataFrame, since: str, columns: tuple[str, ...] = CUSTOM
 
 
 def read_customers(spark: SparkSession, url: str, table: str, since: str, partitions: int = 1, **options: str) -> DataFrame:
-    """Customers changed since an instant. With several partitions the read is split by the time of change."""
+    """Customers changed since an instant. With several partitions the read is split evenly over the times of change that there are.
+
+    The bounds of the split are asked of the database first; an empty table is read as one partition.
+    """
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
     if partitions > 1:
-        reader = reader.options(partitionColumn="updated_at", lowerBound=since, upperBound=options.get("upperBound", "2100-01-01"), numPartitions=str(partitions))
+        span = spark.read.format("jdbc").options(url=url, dbtable=f"(SELECT min(updated_at) AS lo, max(updated_at) AS hi FROM {table}) span", **options).load().toDF("lo", "hi")
+        text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        lo, hi = span.select(text(F.greatest("lo", F.lit(since).cast("timestamp"))), text(F.timestampadd("SECOND", F.lit(1), F.col("hi")))).first()
+        if hi is not None and lo < hi:
+            reader = reader.options(partitionColumn="updated_at", lowerBound=lo, upperBound=hi, numPartitions=str(partitions))
     return changed_since(reader.load(), since)

@@ -162,6 +162,22 @@ def test_changed_since_is_inclusive(table):
     assert rows_of(database.changed_since(rows, "2026-01-02T00:00:00Z"), "customer_id") == [("b",)]
 
 
+def test_a_database_is_read_in_even_parts_from_the_bound_on(spark, table, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/crm;create=true"
+    days = [f"2026-01-{d:02d} 00:00:00" for d in range(1, 21)]
+    rows = table("customer_id string, company_name string, plan string, segment string, signup_date date, country string, is_active boolean, updated_at timestamp", [(f"c_{i}", "Co", "free", "SMB", "2026-01-01", "DE", True, d) for i, d in enumerate(days)])
+    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows.coalesce(1).write.format("jdbc").options(url=url, dbtable="customers", **options).mode("overwrite").save()
+    for since, wanted in (("1970-01-01T00:00:00Z", 20), ("2026-01-13T00:00:00Z", 8), ("2027-01-01T00:00:00Z", 0)):
+        got = database.read_customers(spark, url, "customers", since, partitions=4, **options)
+        assert got.count() == wanted
+        sizes = got.groupBy(F.spark_partition_id()).count().collect()
+        assert max((r["count"] for r in sizes), default=0) <= max(1, wanted // 4 + 1)
+        assert database.read_customers(spark, url, "customers", since, **options).count() == wanted
+    lines = [json.loads(r[0]) for r in rawlines.normalized_json(got.limit(0).unionByName(database.read_customers(spark, url, "customers", "2026-01-20T00:00:00Z", **options))).collect()]
+    assert [(x["customer_id"], x["updated_at"], x["is_active"]) for x in lines] == [("c_19", "2026-01-20T00:00:00.000000Z", True)]
+
+
 # The paged source
 
 
