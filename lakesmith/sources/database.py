@@ -23,7 +23,7 @@ def read_customers(spark: SparkSession, url: str, table: str, since: str, partit
     if partitions > 1:
         span = spark.read.format("jdbc").options(url=url, dbtable=f'(SELECT min("updated_at") AS lo, max("updated_at") AS hi FROM {table}) span', **options).load().toDF("lo", "hi")
         text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        lo, hi = span.select(text(F.greatest("lo", F.lit(since).cast("timestamp"))), text(F.timestampadd("SECOND", F.lit(1), F.col("hi")))).first()
+        lo, hi = span.select(text(F.greatest("lo", F.lit(since).cast("timestamp"))), text(F.col("hi") + F.expr("interval 1 second"))).first()
         if hi is not None and lo < hi:
             reader = reader.options(partitionColumn="updated_at", lowerBound=lo, upperBound=hi, numPartitions=str(partitions))
     return changed_since(reader.load(), since)
