@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakesmith.plans.pipeline import Pipeline, QualityGateError, execution_date, notification
 from lakesmith.schemas import Table
-from lakesmith.sources import database, paged_files, pager, rawlines
+from lakesmith.sources import database, paged_files, pager, rawlines, replay
 from lakesmith.store import Store, StoreError
 from lakesmith.streaming import live
 
@@ -236,6 +236,26 @@ def test_rate_and_bounds():
     assert [pager.pages_of(n, 500) for n in (0, 500, 501)] == [1, 1, 2]
 
 
+def test_a_replayed_source_throttles_fails_and_still_gives_every_record():
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    batches = [[{"event_id": f"e_{b}{i}", "updated_at": f"2026-01-0{b}T00:00:0{i}Z", "_batch": b} for i in range(9)] for b in (1, 2)]
+    source = replay.Replay(batches, per_second=2, flaky=0.3, overlap=1, seed=3, clock=lambda: now[0])
+    client = pager.Pager(source, page_size=3, per_second=50, sleep=sleep, clock=lambda: now[0], jitter=lambda: 0.0)
+    read = lambda since: {r["event_id"] for r in client.records(since)}
+    assert read("") == {f"e_1{i}" for i in range(9)} and 1.0 in slept
+    assert source.state() == {"batch": 1, "visible": 9} and source.advance() == {"batch": 2, "visible": 18} == source.advance()
+    assert read("2026-01-01T00:00:08Z") == {"e_18", *(f"e_2{i}" for i in range(9))}
+    assert source.health() == {"status": "ok", "batch": 2, "visible": 18, "records": 18} and source.reset()["visible"] == 9
+    quiet = replay.Replay(batches, per_second=1, clock=lambda: 0.0)
+    first, second = (quiet({"since": "", "page": 1, "page_size": 2}) for _ in range(2))
+    assert [set(r) for r in first.body["data"]] == [{"event_id", "updated_at"}] * 2 and (second.status, second.headers) == (429, {"Retry-After": "1"})
+
+
 def test_paged_files_are_a_data_source(spark, tmp_path):
     paged_files.register(spark)
     for n, us in enumerate((["2026-01-01", "2026-01-02"], ["2026-01-02", "2026-01-03"])):
