@@ -19,8 +19,8 @@ from lakesmith.functions.canon import DAY_US, canonical_id, canonical_text, micr
 
 TRACKED = ("plan", "segment", "is_active", "country")
 
-#: The distance of checkpoints.
-PERIOD_US = 30 * DAY_US
+#: The distance of checkpoints; what one task folds of a hot entity at a time.
+PERIOD_US = 7 * DAY_US
 
 
 def _text(c: str) -> Column:

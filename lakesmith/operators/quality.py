@@ -17,17 +17,22 @@ FRESH_HOURS = 48
 RESULT = ("check_name", "severity", "status", "layer", "table_name", "records_checked", "records_failed", "failure_rate")
 
 
-def _result(df: DataFrame, name: str, severity: Column, status: Column, table_name: str) -> DataFrame:
-    """df holds one row with checked and failed."""
-    rate = F.when(F.col("checked") > 0, F.col("failed").cast("double") / F.col("checked")).otherwise(F.lit(0.0))
-    return df.select(
+def _row(name: str, severity: Column, status: Column, table_name: str, checked: Column, failed: Column) -> Column:
+    """One result as a struct."""
+    rate = F.when(checked > 0, failed.cast("double") / checked).otherwise(F.lit(0.0))
+    return F.struct(
         F.lit(name).alias("check_name"), severity.alias("severity"), status.alias("status"), F.lit(table_name.split(".")[0]).alias("layer"), F.lit(table_name).alias("table_name"),
-        F.col("checked").cast("long").alias("records_checked"), F.col("failed").cast("long").alias("records_failed"), rate.alias("failure_rate"),
+        checked.cast("long").alias("records_checked"), failed.cast("long").alias("records_failed"), rate.alias("failure_rate"),
     )
 
 
-def _passes(failed: str = "failed") -> Column:
-    return F.when(F.col(failed) == 0, "passed").otherwise("failed")
+def _result(df: DataFrame, name: str, severity: Column, status: Column, table_name: str) -> DataFrame:
+    """df holds one row with checked and failed."""
+    return df.select(_row(name, severity, status, table_name, F.col("checked"), F.col("failed")).alias("r")).select("r.*")
+
+
+def _passes(failed: Column | None = None) -> Column:
+    return F.when((F.col("failed") if failed is None else failed) == 0, "passed").otherwise("failed")
 
 
 def uniqueness(rows: DataFrame, key: tuple[str, ...], table_name: str) -> DataFrame:
@@ -73,18 +78,36 @@ def volumetry(volumes: DataFrame, table_name: str) -> DataFrame:
     return _result(counted, "CHECK_VOLUMETRY", F.lit("warning"), F.when(F.col("warn"), "warning").otherwise("passed"), table_name)
 
 
+def _counted() -> Column:
+    return F.count(F.lit(1)).alias("rows")
+
+
+def _invalid(column: str, allowed: tuple[str, ...]) -> Column:
+    return F.count_if(~F.col(column).isin(*allowed)).alias("invalid")
+
+
+def _domain_row(table_name: str) -> Column:
+    return _row("CHECK_DOMAIN_VALUES", F.lit("critical"), _passes(F.col("invalid")), table_name, F.col("rows"), F.col("invalid"))
+
+
+def _freshness_row(reference: Column, table_name: str) -> Column:
+    stale = F.coalesce((F.unix_micros(reference) - F.unix_micros("newest")) > F.lit(FRESH_HOURS * 3_600_000_000), F.lit(True))
+    return _row("CHECK_FRESHNESS", F.lit("warning"), F.when(stale, "warning").otherwise("passed"), table_name, F.lit(1), stale.cast("int"))
+
+
 def domain_values(rows: DataFrame, column: str, allowed: tuple[str, ...], table_name: str) -> DataFrame:
     """Critical. Values outside the list; NULL is not reported."""
-    counts = rows.agg(F.count(F.lit(1)).alias("checked"), F.count_if(~F.col(column).isin(*allowed)).alias("failed"))
-    return _result(counts, "CHECK_DOMAIN_VALUES", F.lit("critical"), _passes(), table_name)
+    return rows.agg(_counted(), _invalid(column, allowed)).select(_domain_row(table_name).alias("r")).select("r.*")
 
 
 def freshness(rows: DataFrame, reference: Column, at: str = "occurred_at", table_name: str = "silver.events") -> DataFrame:
     """Warning. Time between the newest row and `reference`, at most FRESH_HOURS (inclusive); an empty table warns. One thing is checked: the table."""
-    newest = rows.agg(F.max(at).alias("newest")).withColumn("checked", F.lit(1))
-    stale = F.coalesce((F.unix_micros(reference) - F.unix_micros("newest")) > F.lit(FRESH_HOURS * 3_600_000_000), F.lit(True))
-    counted = newest.withColumn("failed", stale.cast("int"))
-    return _result(counted, "CHECK_FRESHNESS", F.lit("warning"), F.when(stale, "warning").otherwise("passed"), table_name)
+    return rows.agg(F.max(at).alias("newest")).select(_freshness_row(reference, table_name).alias("r")).select("r.*")
+
+
+def values_and_freshness(rows: DataFrame, column: str, allowed: tuple[str, ...], reference: Column, at: str = "occurred_at", table_name: str = "silver.events") -> DataFrame:
+    """Both results of one table from one pass over it."""
+    return rows.agg(_counted(), _invalid(column, allowed), F.max(at).alias("newest")).select(F.inline(F.array(_domain_row(table_name), _freshness_row(reference, table_name))))
 
 
 def violations(rows: DataFrame, table_name: str, not_null: tuple[str, ...] = (), unique: tuple[str, ...] = (), domains: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -155,6 +178,6 @@ def report(events: DataFrame, customers: DataFrame, reference: Column, volumes:
         volumes = volume_history(events, "silver.events", "occurred_at")
     checks = (
         uniqueness(events, ("event_id",), "silver.events"), uniqueness(customers, ("customer_id", "valid_from"), "silver.customers"), referential_integrity(events, customers), volumetry(volumes, "silver.events"),
-        domain_values(events, "event_type", EVENT_TYPES, "silver.events"), domain_values(customers, "plan", PLANS, "silver.customers"), freshness(events, reference),
+        values_and_freshness(events, "event_type", EVENT_TYPES, reference), domain_values(customers, "plan", PLANS, "silver.customers"),
     )
     return reduce(DataFrame.unionByName, checks)
