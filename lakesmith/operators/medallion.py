@@ -14,6 +14,9 @@ from lakesmith.functions.payload import is_delete, json_type, markers
 EVENT_TYPES = ("ticket_opened", "ticket_replied", "ticket_closed", "login", "feature_used", "export_generated", "report_viewed", "subscription_changed")
 PLANS = ("free", "pro", "enterprise")
 TICKET_TYPES = ("ticket_opened", "ticket_replied", "ticket_closed")
+#: The fields of raw events and customer lines, and those that an event must have.
+EVENT_FIELDS = ("event_id", "customer_id", "event_type", "occurred_at", "updated_at", "channel", "properties")
+CUSTOMER_FIELDS = ("customer_id", "company_name", "plan", "segment", "signup_date", "country", "is_active", "updated_at")
 REQUIRED = ("event_id", "event_type", "occurred_at", "updated_at")
 
 #: The two spellings of an instant in raw records.
@@ -37,7 +40,7 @@ def _fields(payload: Column, names: tuple[str, ...]) -> list[Column]:
 
 def raw_events(lines: DataFrame, payload: str = "_raw_payload") -> DataFrame:
     """Each raw line with the text of the seven known event fields; unknown fields stay in the payload."""
-    return lines.select("*", *_fields(F.col(payload), ("event_id", "customer_id", "event_type", "occurred_at", "updated_at", "channel", "properties")))
+    return lines.select("*", *_fields(F.col(payload), EVENT_FIELDS))
 
 
 def bronze_events(lines: DataFrame) -> DataFrame:
@@ -51,8 +54,7 @@ def bronze_events(lines: DataFrame) -> DataFrame:
 
 def bronze_customers(lines: DataFrame) -> DataFrame:
     """Raw lines as bronze customers: one row per line, unreadable values NULL."""
-    names = ("customer_id", "company_name", "plan", "segment", "signup_date", "country", "is_active", "updated_at")
-    parsed = lines.select("_raw_payload", "_source_file", "_ingested_at", "_batch_id", *_fields(F.col("_raw_payload"), names))
+    parsed = lines.select("_raw_payload", "_source_file", "_ingested_at", "_batch_id", *_fields(F.col("_raw_payload"), CUSTOMER_FIELDS))
     return parsed.select(
         "customer_id", "company_name", "plan", "segment", F.try_to_date("signup_date", "yyyy-MM-dd").alias("signup_date"), "country", F.col("is_active").try_cast("boolean").alias("is_active"),
         instant(F.col("updated_at")).alias("updated_at"), "_raw_payload", "_source_file", "_ingested_at", "_batch_id",

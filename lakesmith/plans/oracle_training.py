@@ -7,11 +7,8 @@ import re
 from lakesmith.operators.counters import CUT_OFF_US
 from lakesmith.operators.dedup import BLOCK_BITS
 from lakesmith.operators.drift import NOT_FIELDS, RENAME_OVERLAP
-from lakesmith.plans.oracle import _day, _id
+from lakesmith.plans.oracle import _DELETE, _day, _id
 
-_DELETE = (
-    "CASE WHEN json_valid(_raw_payload) THEN coalesce(lower(json_extract_string(_raw_payload, '$.op')) IN ('d', 'delete'), false) OR coalesce(lower(json_extract_string(_raw_payload, '$.is_deleted')) = 'true', false) ELSE false END"
-)
 _FEED = f"""feed AS (
   SELECT {_id("event_id")} AS event_id, epoch_us(updated_at) AS us, epoch_us(occurred_at) AS o, {_id("customer_id")} AS customer_id, {_id("event_type")} AS event_type, {_DELETE} AS gone FROM bronze_events),
 last AS (SELECT event_id, min(us) AS first_us, max(us) AS us, arg_max(gone, us) AS gone, max(o) AS o, max(customer_id) AS customer_id, max(event_type) AS event_type
