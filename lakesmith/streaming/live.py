@@ -71,6 +71,16 @@ def counter_sink(store: Store, cut_off_us: int = counters.CUT_OFF_US) -> Callabl
     return once_per_batch(store, "state.event_cells", apply)
 
 
+def compact_counters(store: Store) -> None:
+    """Joins the state's cells to one per event and its emissions to one per key and source; what they say stays the same."""
+    for name, joined in (
+        ("state.event_cells", lambda rows: counters.merge_cells(rows).join(rows.groupBy("event_id").agg(F.max("sequence").alias("sequence")), "event_id")),
+        ("state.event_counters", counters.merge_counters),
+    ):
+        base = store.newest(name).number
+        store.replace(name, joined(store.read(name, base)), "compact", base)
+
+
 def live_counts(store: Store) -> DataFrame:
     """The counts as the stream knows them now."""
     return counters.totals(counters.merge_counters(store.read("state.event_counters"))).filter("event_count > 0")

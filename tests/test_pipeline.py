@@ -406,10 +406,15 @@ def test_streams_end_where_the_batch_does(spark, tmp_path):
             live.start(live.stream_raw(spark, raw, "events"), sink, str(tmp_path / f"c_{name}")).awaitTermination()
     assert rows_of(store.read("silver.events"), "event_id") == [("e_2",), ("e_3",)]
     assert rows_of(live.live_counts(store), "customer_id", "event_count") == [("c_1", 1)]
+    live.compact_counters(store)
+    assert store.read("state.event_cells").count() == 3 and rows_of(live.live_counts(store), "customer_id", "event_count") == [("c_1", 1)]
+    write("2026-03-06", [raw_event("e_2", u="2026-03-06T00:00:00Z", op="delete"), raw_event("e_4", o="2026-03-04T00:00:00Z", u="2026-03-06T00:00:00Z"), raw_event("e_5", o="2026-03-04T00:00:00Z", u="2026-03-06T00:00:00Z")])
+    live.start(live.stream_raw(spark, raw, "events"), counts, str(tmp_path / "c_counts")).awaitTermination()
+    assert rows_of(live.live_counts(store), "customer_id", "event_count") == [("c_1", 2)]
     windowed = live.windowed_counts(live.stream_raw(spark, raw, "events"))
     query = windowed.writeStream.format("memory").queryName("windowed").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert spark.table("windowed").agg(F.max("event_count")).first()[0] == 3
+    assert spark.table("windowed").agg(F.max("event_count")).first()[0] == 5
 
 
 def test_a_stream_sets_rows_without_key_aside(spark, tmp_path):
