@@ -43,8 +43,12 @@ def merge_into(
     base = store.newest(name).number
     source = merge.require_unique(durable(source), on)
     touched = touched_partitions(store, name, base, source, on) if touched is None else touched
-    target = store.read(name, base, partitions=touched) if base >= 0 else store.spark.createDataFrame([], store.definition(name).schema)
-    merged = merge.merge(target, source, on, when=when, remove=remove, delete_unmatched=delete_unmatched)
+    if delete_unmatched and when is None and remove is None and set(store.definition(name).schema.fieldNames()) <= set(source.columns):
+        # The source is all that the partitions shall hold, so what they held is not read.
+        merged = source
+    else:
+        target = store.read(name, base, partitions=touched) if base >= 0 else store.spark.createDataFrame([], store.definition(name).schema)
+        merged = merge.merge(target, source, on, when=when, remove=remove, delete_unmatched=delete_unmatched)
     return store.replace_partitions(name, merged if touched else None, touched, base, operation, notes=notes, sides=sides)
 
 
