@@ -125,13 +125,15 @@ def sweep(lines: DataFrame, seen: Seen | None = None) -> DataFrame:
     block holds at most 2 ** BLOCK_BITS numbers times the batches.
     """
     first = F.min(F.struct("seen_us", "us")).alias("f")
-    numbers = lines.filter("seq is not null").groupBy(*_NUMBER, "batch").agg(first).select(*_NUMBER, F.lit(None).cast("long").alias("hi"), F.col("f.seen_us").alias("at"), "f.us", "batch")
+    numbers = lines.filter("seq is not null").groupBy(*_NUMBER, "batch").agg(first).select(*_NUMBER, F.lit(None).cast("int").alias("length"), F.col("f.seen_us").alias("at"), "f.us", "batch")
     if seen is not None:
-        numbers = numbers.unionByName(seen.ranges.select("producer", "block", F.col("lo").alias("seq"), "hi"), allowMissingColumns=True)
+        # NULLs turn numbers into floats on the way to Python, which short lengths survive and large numbers do not.
+        numbers = numbers.unionByName(seen.ranges.select("producer", "block", F.col("lo").alias("seq"), (F.col("hi") - F.col("lo")).cast("int").alias("length")), allowMissingColumns=True)
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        known = block["hi"].notna()
-        ranges = Ranges(block.loc[known, "seq"].to_numpy(), block.loc[known, "hi"].to_numpy())
+        known = block["length"].notna()
+        lo = block.loc[known, "seq"].to_numpy(dtype=np.int64)
+        ranges = Ranges(lo, lo + block.loc[known, "length"].to_numpy(dtype=np.int64))
         arrivals = block[~known].sort_values(["at", "batch", "us", "seq"], kind="stable")
         accepted = arrivals.iloc[ranges.take(arrivals["seq"].to_numpy(dtype=np.int64))]
         taken, held = len(accepted), len(ranges.lo)
@@ -199,9 +201,12 @@ def single_copies(rows: DataFrame, kept: DataFrame, key: str = "event_id", versi
     Rows without key or version cannot be told apart and all stay. Columns that have no order (maps, variants) do not
     take part in the choice. A row is shuffled once, after its copies have collapsed on the map side.
     """
-    own = rows.columns
-    plain = [F.col(f"`{f.name}`") for f in rows.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
-    told = rows.select(canonical_id(key).alias("__id"), micros(version).alias("__us"), F.coalesce(F.col(batch), F.lit("")).alias("__batch"), F.struct(F.coalesce(micros(arrival), F.lit(_NEVER)), *plain).alias("__order"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("__row"))
-    lines = told.filter("__id is not null and __us is not null").groupBy("__id", "__us", "__batch").agg(F.min_by("__row", "__order").alias("__row"))
+    loose = [f.name for f in rows.schema if any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    # The columns that have an order are the order themselves, so a row is carried once.
+    order = F.struct(F.coalesce(micros(arrival), F.lit(_NEVER)).alias("__seen"), *(F.col(f"`{c}`") for c in rows.columns if c not in loose))
+    told = rows.select(canonical_id(key).alias("__id"), micros(version).alias("__us"), F.coalesce(F.col(batch), F.lit("")).alias("__batch"), order.alias("__order"), *([F.struct(*(F.col(f"`{c}`") for c in loose)).alias("__loose")] if loose else []))
+    best = [F.min("__order").alias("__order"), *([F.min_by("__loose", "__order").alias("__loose")] if loose else [])]
+    lines = told.filter("__id is not null and __us is not null").groupBy("__id", "__us", "__batch").agg(*best)
     which = kept.select(F.col("id").alias("__id"), F.col("us").alias("__us"), F.col("batch").alias("__batch"))
-    return lines.join(which, ["__id", "__us", "__batch"], "left_semi").select("__row.*").unionByName(rows.filter(canonical_id(key).isNull() | F.col(version).isNull()))
+    once = lines.join(which, ["__id", "__us", "__batch"], "left_semi").select(*(F.col(f"{'__loose' if c in loose else '__order'}.`{c}`").alias(c) for c in rows.columns))
+    return once.unionByName(rows.filter(canonical_id(key).isNull() | F.col(version).isNull()))

@@ -207,6 +207,15 @@ def test_ranges_equal_a_set_of_numbers():
         assert (ranges.lo[1:] > ranges.hi[:-1] + 1).all()
 
 
+def test_numbers_of_eighteen_digits_keep_their_last_one(table):
+    ids = [f"e_9007199254740993{n:02d}" for n in (1, 2, 3, 5)]
+    first = dedup.resolve(table(EVENTS, [event(i, 1) for i in ids]))
+    seen = dedup.advance(first, dedup.accepted(first))
+    second = dedup.resolve(table(EVENTS, [event(i, 1, batch="n") for i in (*ids, "e_900719925474099304")]), seen=seen)
+    assert rows_of(dedup.accepted(second), "id") == [("e_900719925474099304",)]
+    assert rows_of(second.ranges, "lo", "hi") == [(900719925474099301, 900719925474099305)]
+
+
 @pytest.mark.parametrize("batches", [1, 2, 5])
 def test_messages_equal_brute_force_however_they_are_batched(table, batches, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK_BITS", 3)
