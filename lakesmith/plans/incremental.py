@@ -53,7 +53,7 @@ def merge_into(
 
 
 def keyless(rows: DataFrame, key: str, table: str) -> DataFrame:
-    """The rows without key as control.rejected_rows has them."""
+    """The rows without key as the side table rejected_rows has them."""
     return rows.filter(canonical_id(key).isNull()).select(F.lit(table).alias("table_name"), F.lit(f"no {key}").alias("reason"), F.to_json(F.struct("*")).alias("row_json"), "_batch_id")
 
 
