@@ -63,8 +63,9 @@ FURNITURE = re.compile(
 #: Lines of a stack trace, which belong to the error that they follow.
 FRAME = re.compile(r"^(?:at \S.*[:(]\d+\)?|file \".*\", line \d+.*|.* on line \d+\.?)$")
 
-_TAG = re.compile(r"<!--.*?-->|</?(?!(?:your|insert|enter|add)\b)[A-Za-z][\w:-]*(?:\s[^<>]*)?/?>|<!doctype[^>]*>", re.IGNORECASE | re.DOTALL)
-_CODE_TAG = re.compile(r"<(pre|code|blockquote)\b[^>]*>.*?</\1>", re.IGNORECASE | re.DOTALL)
+_TAG = re.compile(r"</?(?!(?:your|insert|enter|add)\b)[A-Za-z][\w:-]*(?:\s[^<>]*)?/?>|<!doctype[^<>]*>", re.IGNORECASE)
+_CODE_TAG = re.compile(r"<(pre|code|blockquote)\b[^<>]*>", re.IGNORECASE)
+_CODE_END = {name: re.compile(f"</{name}>", re.IGNORECASE) for name in ("pre", "code", "blockquote")}
 #: An error as XML says in its tags what it is.
 _ERROR_XML = re.compile(r"<error>\s*<code>(\w+)</code>", re.IGNORECASE)
 _FENCE = re.compile(r"^(`{3,}|~{3,}).*?(?:^\1|\Z)", re.MULTILINE | re.DOTALL)
@@ -72,11 +73,9 @@ _INDENTED = re.compile(r"^(?: {4}|\t|>).*$", re.MULTILINE)
 _QUOTED = re.compile(r"`[^`\n]+`|\"[^\"\n]+\"|“[^”\n]+”|„[^“\n]+“|«[^»\n]+»|(?<!\w)'[^'\n]{2,}'(?!\w)|「[^」\n]+」")
 _QUOTE_MARKS = re.compile(r"^(?: {4}|\t|> ?)|`{3,}|~{3,}", re.MULTILINE)
 #: Hexadecimal ids, names with a version and numbers with what is glued to them.
-_NEUTRAL = re.compile(r"\b(?=[a-f-]*[0-9])[0-9a-f][0-9a-f-]{5,}\b|\b[\w-]+/\d+(?:\.\d+)+\b")
+_NEUTRAL = re.compile(r"(?<![\w-])(?=[a-f-]*+[0-9])[0-9a-f][0-9a-f-]{5,}\b|(?<![\w-])[\w-]++/\d+(?:\.\d+)+\b")
 #: Some sign of each notation.
 _OPENINGS = ("{", "%", "[", "@@", "__", "<")
-#: A name with a colon or an equals sign, which before a placeholder is its label.
-_LABEL = re.compile(r"[\w.-]+[ \t]*[=:][ \t]*$")
 _APART = re.compile(r"[\W_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _DIGITS = "0123456789"
@@ -150,6 +149,48 @@ def _share(body: str, words: str, marks: int, beside: int = 0) -> float:
     return share
 
 
+def _without_comments(text: str) -> str:
+    """A text without its closed comments."""
+    kept, i = [], 0
+    while (start := text.find("<!--", i)) >= 0 and (stop := text.find("-->", start + 4)) >= 0:
+        kept.append(text[i:start])
+        i = stop + 3
+    return "\n".join([*kept, text[i:]])
+
+
+def _without_code(text: str, quotes: list[str]) -> str:
+    """A text without what stands between code tags, which goes to `quotes`; a tag that is never closed is no quotation."""
+    kept, i, open_ended = [], 0, set()
+    for tag in _CODE_TAG.finditer(text):
+        name = tag.group(1).lower()
+        if tag.start() < i or name in open_ended:
+            continue
+        end = _CODE_END[name].search(text, tag.end())
+        if end is None:
+            open_ended.add(name)
+            continue
+        quotes.append(text[tag.start() : end.end()])
+        kept.append(text[i : tag.start()])
+        i = end.end()
+    return " ".join([*kept, text[i:]])
+
+
+def _label(text: str, reach: int, start: int) -> int:
+    """Where the label of a placeholder begins, a name with a colon or an equals sign before it; its own start if it has none."""
+    i = start
+    while i > reach and text[i - 1] in " \t":
+        i -= 1
+    if i == reach or text[i - 1] not in "=:":
+        return start
+    i -= 1
+    while i > reach and text[i - 1] in " \t":
+        i -= 1
+    j = i
+    while j > reach and (text[j - 1].isalnum() or text[j - 1] in "_.-"):
+        j -= 1
+    return j if j < i else start
+
+
 def is_meaningless(text: str) -> bool:
     """Whether a text consists of too few different letters, or of many words among which no language has a function word."""
     if not text.isascii():
@@ -186,8 +227,7 @@ def coverage(text: str | None) -> float:
         signs, kept, reach = 0, [], 0
         for match in PLACEHOLDERS.finditer(part):
             start, stop = match.span()
-            label = _LABEL.search(part, max(reach, part.rfind("\n", 0, start) + 1), start)
-            start = label.start() if label else start
+            start = _label(part, reach, start)
             signs += stop - start - part.count(" ", start, stop)
             kept.append(part[reach:start])
             reach = stop
@@ -196,7 +236,8 @@ def coverage(text: str | None) -> float:
     outside = plain = _ERROR_XML.sub(r" error code \1 ", plain)
     # Tags go before quotation marks are looked for, as their attributes stand in some.
     if "<" in outside:
-        outside = _TAG.sub("\n", _CODE_TAG.sub(quoted, outside))
+        outside = plain = _without_comments(plain)
+        outside = _TAG.sub("\n", _without_code(outside, quotes))
     for quotation in (_FENCE, _INDENTED, _QUOTED):
         outside = quotation.sub(quoted, outside)
     outside, marks = marked(outside)

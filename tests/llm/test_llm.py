@@ -241,6 +241,15 @@ def test_short_cases_are_found_inside_tags_and_bullets(text):
     assert [w for w in WRAPS[:3] if not residue.is_residue(w.format(text))] == []
 
 
+def test_very_long_texts_take_time_in_proportion():
+    import time
+
+    for piece in ("a", "a-", "x.y", "${x}a", "key=${x} ", "{{", "<%", "a b ", "home | ", "'it ", "%%", "[A", "0f-", "answer ", "<!--", "<code>", "<code ", "<pre></code>", "```\n"):
+        began = time.process_time()
+        residue.coverage(piece * 200_000)
+        assert time.process_time() - began < 10, piece
+
+
 def test_very_long_texts_are_read_whole():
     own = "The scheduler reads its limit once, at start; changing it later has no effect. "
     assert not residue.is_residue(own * 20_000 + "404 Not Found")
